@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkweave import ship
 
-from . import token_output
+from . import bpe, token_counts, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,8 @@ def BPE_FILE() -> str:
 
 QUERIES = {
     "op1_token_ids": token_output.query,
+    "op2_token_counts": token_counts.query,
+    "op8_bpe": bpe.query,
 }
 
 ORACLES: dict[str, str] = {}
