@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkweave import ship
 
-from . import bpe, simhash, token_counts, token_output
+from . import bpe, quality, simhash, token_counts, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,10 @@ QUERIES = {
     "op1_token_ids": token_output.query,
     "op2_token_counts": token_counts.query,
     "op3_simhash": simhash.query,
+    "op6_quality": quality.query,
     "op8_bpe": bpe.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality": quality.ORACLE,
+}
