@@ -27,7 +27,7 @@ from . import storage
 BLANKS = " \t\n\x0b\x0c\r"
 _BLANK = r"[\x20\x09-\x0D]"
 #: Ratios, in thousandths (mean_length: hundredths of a code point), and their slack.
-RATIOS = {"mean_length": 100, "symbols": 20, "dup_lines": 100, "repeats": 100}
+RATIOS = {"mean_length": 100, "symbols": 20, "dup_lines": 300, "repeats": 300}
 LARGEST = 1000
 #: Quartile distances outside the quartiles.
 FENCE = 3
