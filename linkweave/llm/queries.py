@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkweave import ship
 
-from . import bpe, quality, simhash, token_counts, token_output
+from . import bpe, packing, quality, sharding, simhash, token_counts, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,8 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op6_quality": quality.query,
     "op8_bpe": bpe.query,
+    "op9_sharding": sharding.query,
+    "op10_packing": packing.query,
 }
 
 ORACLES: dict[str, str] = {
