@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkweave import ship
 
-from . import bpe, packing, quality, sharding, simhash, token_counts, token_output
+from . import bpe, langid, packing, quality, sharding, simhash, token_counts, token_output, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +24,17 @@ QUERIES = {
     "op1_token_ids": token_output.query,
     "op2_token_counts": token_counts.query,
     "op3_simhash": simhash.query,
+    "op4_langid": langid.query,
+    "op5_topk": topk.query,
     "op6_quality": quality.query,
+    "op7_warc": warc.query,
     "op8_bpe": bpe.query,
     "op9_sharding": sharding.query,
     "op10_packing": packing.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_topk": topk.ORACLE,
     "op6_quality": quality.ORACLE,
+    "op7_warc": warc.ORACLE,
 }
