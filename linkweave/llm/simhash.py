@@ -26,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import storage
@@ -108,17 +108,21 @@ def possible(fps: DataFrame, radius: int) -> DataFrame:
         tries += [(mask, tag | v) for v in ball(kept, half)]
     # One array of (mask, change) pairs in the plan, folded to a constant.
     pairs = F.expr(f"arrays_zip({_longs([m for m, _ in tries])}, {_longs([c for _, c in tries])})")
-    keyed = fps.select("fp", F.explode(pairs).alias("t")).select("fp", F.col("t.0").bitwiseAND(F.col("fp")).bitwiseXOR(F.col("t.1")).alias("key")).repartition("key")
-    met = keyed.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most").select("key")
-    return keyed.join(met, "key", "left_semi").select("fp").distinct()
+    keyed = fps.select("fp", F.explode(pairs).alias("t")).select("fp", F.col("t.0").bitwiseAND(F.col("fp")).bitwiseXOR(F.col("t.1")).alias("key"))
+    return _met(keyed).select("fp").distinct()
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """Rows of ``keyed(fp, key)`` whose key other fingerprints have too, with the smallest there: one sort, read once."""
+    at = Window.partitionBy("key")
+    return keyed.withColumns({"least": F.min("fp").over(at), "most": F.max("fp").over(at)}).filter("least <> most")
 
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b) between distinct ``fps(fp)`` with the components that all links within ``radius`` bits give."""
     variants = _longs(ball(list(range(64)), -(-radius // 2)))
-    met = fps.select("fp", F.explode(F.expr(variants)).alias("v")).select("fp", F.col("fp").bitwiseXOR(F.col("v")).alias("key")).repartition("key")
-    star = met.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).filter("b <> most").select("key", "b")
-    return met.join(star, "key").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    emitted = fps.select("fp", F.explode(F.expr(variants)).alias("v")).select("fp", F.col("fp").bitwiseXOR(F.col("v")).alias("key"))
+    return _met(emitted).filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def classes(found: DataFrame, radius: int) -> DataFrame:
