@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
+
 #: Texts of a language that fitting takes, about.
 FIT_ROWS = 4000
 BUCKETS = 1 << 15
@@ -174,14 +176,16 @@ def infer(ll: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """``keep`` columns of docs and _lang, _score and _shares (map of the selected languages) of every whole text."""
+    """``keep`` columns of docs and __lw_lang, __lw_score and __lw_shares (map of the selected languages) of every whole text."""
     langs, table = model
+    sent_names = keep if "text" in keep else [*keep, "text"]
+    at = sent_names.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
-            texts, size = batch.column(batch.num_columns - 1), batch.num_rows
+            texts, size = batch.column(at), batch.num_rows
             lang, score, shares = [UNKNOWN] * size, np.zeros(size), [[] for _ in range(size)]
             held, rows = [], []
 
@@ -208,17 +212,16 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[s
                     held, rows, n = [], [], 0
             if held:
                 settle(held, rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))], names=[*keep, "_lang", "_score", "_shares"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))], names=[*keep, "__lw_lang", "__lw_score", "__lw_shares"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "_lang string, _score double, _shares map<string,double>"]))
+    return storage.columns(docs, sent_names).mapInArrow(run, storage.schema(docs, keep, "__lw_lang string, __lw_score double, __lw_shares map<string,double>"))
 
 
 def languages(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, shares) of every document."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     found = predicted(slim, fit(slim), ["doc_id"])
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_shares").alias("shares"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lw_lang").alias("lang_pred"), F.col("__lw_score").alias("score"), F.col("__lw_shares").alias("shares"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,26 +42,26 @@ def _bound(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` and _counts, a struct of COUNTS and n_lines for each whole text."""
+    """``docs`` and __lw_counts, a struct of COUNTS and n_lines for each whole text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = _bound(docs, _text=text, _trimmed=F.trim(text, F.lit(BLANKS)))
-    df = _bound(df, _words=F.when(F.col("_trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("_trimmed", f"{_BLANK}+")), _lines=F.filter(F.split("_text", "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != ""))
-    df = _bound(df, _hashes=F.when(F.size("_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.xxhash64(F.col("_words")[i], F.col("_words")[i + 1], F.col("_words")[i + 2]))).otherwise(F.array().cast("array<bigint>")))
+    df = _bound(docs, __lw_text=text, __lw_trimmed=F.trim(text, F.lit(BLANKS)))
+    df = _bound(df, __lw_words=F.when(F.col("__lw_trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("__lw_trimmed", f"{_BLANK}+")), __lw_lines=F.filter(F.split("__lw_text", "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != ""))
+    df = _bound(df, __lw_hashes=F.when(F.size("__lw_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("__lw_words") - 3), lambda i: F.xxhash64(F.col("__lw_words")[i], F.col("__lw_words")[i + 1], F.col("__lw_words")[i + 2]))).otherwise(F.array().cast("array<bigint>")))
     # Windows with their places, equal ones side by side; only where some window is there twice.
-    twice = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
-    df = _bound(df, _sorted=F.when(twice, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    s = F.col("_sorted")
+    twice = F.size(F.array_distinct("__lw_hashes")) < F.size("__lw_hashes")
+    df = _bound(df, __lw_sorted=F.when(twice, F.sort_array(F.transform("__lw_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    s = F.col("__lw_sorted")
     repeated = F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
     covered = F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
     counts = F.struct(
-        F.size("_words").cast("long").alias("n_words"),
-        (F.char_length("_text") - F.regexp_count("_text", F.lit(_BLANK))).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.size("__lw_words").cast("long").alias("n_words"),
+        (F.char_length("__lw_text") - F.regexp_count("__lw_text", F.lit(_BLANK))).cast("long").alias("word_chars"),
+        F.regexp_count("__lw_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("__lw_lines") - F.size(F.array_distinct("__lw_lines"))).cast("long").alias("n_dup_lines"),
         F.when(s.isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
+        F.size("__lw_lines").cast("long").alias("n_lines"),
     )
-    return df.withColumn("_counts", counts).select(*docs.columns, "_counts")
+    return df.withColumn("__lw_counts", counts).select(*docs.columns, "__lw_counts")
 
 
 def base_failed(c: Column) -> Column:
@@ -69,7 +69,7 @@ def base_failed(c: Column) -> Column:
 
 
 def _ratio(part: str, whole: str, times: int) -> str:
-    return f"cast(case when _counts.{whole} = 0 then 0 else least({LARGEST}, {times} * _counts.{part} div _counts.{whole}) end as int)"
+    return f"cast(case when __lw_counts.{whole} = 0 then 0 else least({LARGEST}, {times} * __lw_counts.{part} div __lw_counts.{whole}) end as int)"
 
 
 def ratios() -> dict[str, Column]:
@@ -84,7 +84,7 @@ def ratios() -> dict[str, Column]:
 def sketch(counted: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n) over the documents that pass the base rules."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("bucket")) for k, v in ratios().items()]))
-    passed = counted.filter(~base_failed(F.col("_counts"))).select("lang", "source", each.alias("r"))
+    passed = counted.filter(~base_failed(F.col("__lw_counts"))).select("lang", "source", each.alias("r"))
     return passed.groupBy("lang", "source", "r.ratio", "r.bucket").agg(F.count("*").alias("n"))
 
 
@@ -105,26 +105,26 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     own = _fences(sketches, ["lang", "source"])
     of_all = _fences(sketches, []).select("ratio", F.col("low").alias("all_low"), F.col("high").alias("all_high"))
     chosen = own.join(of_all, "ratio").select("lang", "source", "ratio", *[F.when(F.col("docs") < SMALL, F.col(f"all_{k}")).otherwise(F.col(k)).alias(k) for k in ("low", "high")])
-    return chosen.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == r, F.col(k))).alias(f"_{r}_{k}") for r in RATIOS for k in ("low", "high")])
+    return chosen.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == r, F.col(k))).alias(f"__lw_{r}_{k}") for r in RATIOS for k in ("low", "high")])
 
 
 def judged(counted: DataFrame) -> DataFrame:
     """``counted`` (a written table) with ``base_failed`` and ``kept``."""
-    t = thresholds(storage.written(sketch(counted), "sketch")).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    t = thresholds(storage.written(sketch(counted), "sketch")).withColumnsRenamed({"lang": "__lw_lang", "source": "__lw_source"})
     within = F.lit(True)
     for name, value in ratios().items():
-        high = value <= F.col(f"_{name}_high")
-        within = within & ((value >= F.col(f"_{name}_low")) & high if name == "mean_length" else high)
-    joined = counted.join(t, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    failed = base_failed(F.col("_counts"))
-    return joined.withColumns({"_failed": failed, "_kept": ~failed & F.coalesce(within, F.lit(False))}).select(*counted.columns, "_failed", "_kept")
+        high = value <= F.col(f"__lw_{name}_high")
+        within = within & ((value >= F.col(f"__lw_{name}_low")) & high if name == "mean_length" else high)
+    joined = counted.join(t, F.col("lang").eqNullSafe(F.col("__lw_lang")) & F.col("source").eqNullSafe(F.col("__lw_source")), "left")
+    failed = base_failed(F.col("__lw_counts"))
+    return joined.withColumns({"__lw_failed": failed, "__lw_kept": ~failed & F.coalesce(within, F.lit(False))}).select(*counted.columns, "__lw_failed", "__lw_kept")
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, COUNTS, base_failed and kept of every document."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     counted = storage.written(with_counts(slim).drop("text"), "counts")
-    return judged(counted).select("doc_id", *[F.col("_counts")[c].alias(c) for c in COUNTS], F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return judged(counted).select("doc_id", *[F.col("__lw_counts")[c].alias(c) for c in COUNTS], F.col("__lw_failed").alias("base_failed"), F.col("__lw_kept").alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,15 +72,16 @@ def fingerprint(text: str | None, words: int) -> int:
 
 
 def with_fingerprints(docs: DataFrame, words: int, keep: list[str]) -> DataFrame:
-    """``keep`` columns of docs and ``fp long`` (the fingerprint's 64 bits, signed)."""
+    """``keep`` columns of docs and ``__lw_fp long`` (the fingerprint's 64 bits, signed)."""
+    sent = keep if "text" in keep else [*keep, "text"]
+    at = sent.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), words) for x in batch.column(batch.num_columns - 1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64), pa.int64())], names=[*keep, "fp"])
+            found = np.array([fingerprint(x.as_py(), words) for x in batch.column(at)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found.view(np.int64), pa.int64())], names=[*keep, "__lw_fp"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "fp long"]))
+    return storage.columns(docs, sent).mapInArrow(run, storage.schema(docs, keep, "__lw_fp long"))
 
 
 def _signed(x: int) -> int:
@@ -139,7 +140,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 
     component_id: the smallest doc_id reachable over links between fingerprints.
     """
-    marked = storage.written(with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, ["doc_id"]), "marked")
+    marked = storage.written(with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, ["doc_id"]).withColumnRenamed("__lw_fp", "fp"), "marked")
     found = storage.written(classes(marked, radius), "classes")
     # One row a fingerprint from here on; copies only rejoin at the end.
     by_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(found, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
@@ -148,6 +149,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return marked.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
+def without_near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
+    """``docs``, of each group of near-duplicates only the row with the smallest doc_id."""
+    marked = storage.written(with_fingerprints(docs, words, docs.columns).withColumn("__lw_row", F.monotonically_increasing_id()), "marked")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("__lw_row").alias("row"))
+    found = storage.written(classes(marked.select(F.col("__lw_fp").alias("fp")), radius), "classes")
+    by_fp = marked.groupBy(F.col("__lw_fp").alias("fp")).agg(F.min(row).alias("first"))
+    first = by_fp.join(found, "fp", "left").groupBy(F.coalesce("class", "fp").alias("class")).agg(F.min("first").alias("first"))
+    stay = storage.written(first.select(F.col("first.row").alias("__lw_row")), "stay")
+    gone = storage.written(marked.select("__lw_row").join(stay, "__lw_row", "left_anti"), "gone")
+    return storage.columns(marked.join(gone, "__lw_row", "left_anti"), docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .queries import table
 

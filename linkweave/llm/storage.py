@@ -62,3 +62,14 @@ def read_range(uri: str, start: int = 0, length: int | None = None) -> bytes:
     with fs.open_input_file(path) as f:
         f.seek(start)
         return f.read(length) if length is not None else f.read()
+
+
+def columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns, whatever signs their names hold."""
+    return df.select(*[df[f"`{n.replace('`', '``')}`"] for n in names])
+
+
+def schema(df: DataFrame, names: list[str], more: str) -> str:
+    """DDL of some columns of ``df`` and of ``more``."""
+    kinds = dict(df.dtypes)
+    return ", ".join([*(f"`{n.replace('`', '``')}` {kinds[n]}" for n in names), more])
