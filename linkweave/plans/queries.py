@@ -20,6 +20,7 @@ from linkweave.operators import ranking as R
 from linkweave.operators import taxonomy as TX
 from linkweave.sources import records as RE
 from linkweave.sources import sinks
+from linkweave.sources.paths import new_path, written
 
 from .sql import _list, grams
 from .sql import query as sql
@@ -50,9 +51,12 @@ class Plan:
     def make_truth(self):
         return RE.er_truth(self.rec)
 
-    def make_prof(self):
+    def make_fresh(self):
         return K.with_profiles(self.rec)
 
+    def make_prof(self):
+        return written(self.fresh, "profiles")
+
     def make_s(self):
         return RE.of_source(self.prof, "S1")
 
@@ -66,7 +70,7 @@ class Plan:
         return B.exact_keys(self.t, "tid")
 
     def make_cand(self):
-        return B.candidates(self.s, self.t)
+        return written(B.candidates(self.s, self.t), "candidates")
 
     def make_pair(self):
         return FE.with_profiles_of(self.cand, self.s, self.t, [*TX.COLUMNS, "ch1", "ch2", "ch3", "ch4"])
@@ -122,8 +126,6 @@ _REC = "entity_id, business_name, business_address, country"
 
 
 def _stored(p: Plan, df: DataFrame, by: list[str] | None = None) -> str:
-    from linkweave.sources.paths import new_path
-
     path = new_path(p.spark, "tsv")
     sinks.write_table(df, path, by)
     return path
@@ -164,8 +166,6 @@ def _(p):
 
 @define("scan_by_country", sql(["rec"], f"SELECT {_REC} FROM rec WHERE country = 'fr' AND entity_id NOT LIKE 'S1-%'"))
 def _(p):
-    from linkweave.sources.paths import new_path
-
     path = new_path(p.spark, "by-country")
     RE.of_source(p.rec, "S2", "S3").select(*RE.RECORD_COLUMNS).write.partitionBy("country").parquet(path)
     return p.spark.read.parquet(path).filter("country = 'fr'").select(*RE.RECORD_COLUMNS)
@@ -178,8 +178,6 @@ def _(p):
 
 @define("scan_split", sql(["rec"], "SELECT entity_id FROM rec WHERE entity_id LIKE 'S1-%' AND country = 'en'"))
 def _(p):
-    from linkweave.sources.paths import new_path
-
     path = new_path(p.spark, "ids")
     sinks.write_ids(RE.of_source(p.rec, "S1").filter("country = 'en'"), "entity_id", path)
     return RE.read_id_lines(p.spark, path)
@@ -222,7 +220,7 @@ def _(p):
 
 
 def _norm(name: str, columns: Callable[[], dict], select: str) -> None:
-    define(name, sql(["prof"], f"SELECT entity_id, {select} FROM prof"))(lambda p: p.prof.select("entity_id", *[c.alias(n) for n, c in columns().items()]))
+    define(name, sql(["prof"], f"SELECT entity_id, {select} FROM prof"))(lambda p: p.fresh.select("entity_id", *[c.alias(n) for n, c in columns().items()]))
 
 
 _norm("norm_accents", lambda: {"plain": F.lower("n_ascii")}, "lower(strip_accents(business_name)) AS plain")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the cluster names no shared folder.
 OWN_FOLDER = "file:///tmp/checkpoints"
@@ -14,3 +14,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A path in the folder named in spark.checkpoint.dir that nothing else uses."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or OWN_FOLDER
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: later steps do not repeat it, and lineage ends."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
