@@ -110,7 +110,8 @@ def thresholds(sketches: DataFrame) -> DataFrame:
 
 def judged(counted: DataFrame) -> DataFrame:
     """``counted`` (a written table) with ``base_failed`` and ``kept``."""
-    t = thresholds(storage.written(sketch(counted), "sketch")).withColumnsRenamed({"lang": "__lw_lang", "source": "__lw_source"})
+    # Written first, so that its size is known before texts would be shuffled to it: Spark broadcasts it only if it is small.
+    t = storage.written(thresholds(storage.written(sketch(counted), "sketch")), "thresholds").withColumnsRenamed({"lang": "__lw_lang", "source": "__lw_source"})
     within = F.lit(True)
     for name, value in ratios().items():
         high = value <= F.col(f"__lw_{name}_high")
