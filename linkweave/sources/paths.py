@@ -1,4 +1,10 @@
-"""Places for files in the folder that all executors share."""
+"""Files and intermediate tables in the folder that all executors share.
+
+The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
+unset (tests, a single machine) is a folder of our own used.  Lineage is cut by writing
+a table there, so a lost executor costs no recomputation of what came before, and no
+block lives on one machine only.
+"""
 
 from __future__ import annotations
 
@@ -10,14 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 OWN_FOLDER = "file:///tmp/checkpoints"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """URI of the shared folder, with a scheme and no slash at its end."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = (named or OWN_FOLDER).rstrip("/")
+    return root if "://" in root or root.startswith("file:") else f"file://{root}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the folder named in spark.checkpoint.dir that nothing else uses."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or OWN_FOLDER
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: later steps do not repeat it, and lineage ends."""
+    """``df`` written once as Parquet in the shared folder and read back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
