@@ -61,7 +61,8 @@ def with_counts(docs: DataFrame) -> DataFrame:
         F.when(s.isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"),
         F.size("__lw_lines").cast("long").alias("n_lines"),
     )
-    return df.withColumn("__lw_counts", counts).select(*docs.columns, "__lw_counts")
+    # A generator of one row: else the optimizer copies the counts into each use of a field.
+    return storage.columns(df.withColumn("__lw_counts", F.explode(F.array(counts))), [*docs.columns, "__lw_counts"])
 
 
 def base_failed(c: Column) -> Column:
@@ -109,7 +110,7 @@ def thresholds(sketches: DataFrame) -> DataFrame:
 
 
 def judged(counted: DataFrame) -> DataFrame:
-    """``counted`` (a written table) with ``base_failed`` and ``kept``."""
+    """``counted`` with ``__lw_failed`` and ``__lw_kept``; it is computed twice, for the sketch and for the verdict."""
     # Written first, so that its size is known before texts would be shuffled to it: Spark broadcasts it only if it is small.
     t = storage.written(thresholds(storage.written(sketch(counted), "sketch")), "thresholds").withColumnsRenamed({"lang": "__lw_lang", "source": "__lw_source"})
     within = F.lit(True)
@@ -118,7 +119,7 @@ def judged(counted: DataFrame) -> DataFrame:
         within = within & ((value >= F.col(f"__lw_{name}_low")) & high if name == "mean_length" else high)
     joined = counted.join(t, F.col("lang").eqNullSafe(F.col("__lw_lang")) & F.col("source").eqNullSafe(F.col("__lw_source")), "left")
     failed = base_failed(F.col("__lw_counts"))
-    return joined.withColumns({"__lw_failed": failed, "__lw_kept": ~failed & F.coalesce(within, F.lit(False))}).select(*counted.columns, "__lw_failed", "__lw_kept")
+    return storage.columns(joined.withColumns({"__lw_failed": failed, "__lw_kept": ~failed & F.coalesce(within, F.lit(False))}), [*counted.columns, "__lw_failed", "__lw_kept"])
 
 
 def quality(docs: DataFrame) -> DataFrame:
