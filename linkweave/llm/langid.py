@@ -178,11 +178,9 @@ def infer(ll: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
     """``keep`` columns of docs and __lw_lang, __lw_score and __lw_shares (map of the selected languages) of every whole text."""
     langs, table = model
-    sent_names = keep if "text" in keep else [*keep, "text"]
-    at = sent_names.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
             texts, size = batch.column(at), batch.num_rows
@@ -212,9 +210,9 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[s
                     held, rows, n = [], [], 0
             if held:
                 settle(held, rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))], names=[*keep, "__lw_lang", "__lw_score", "__lw_shares"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))], names=[*names, "__lw_lang", "__lw_score", "__lw_shares"])
 
-    return storage.columns(docs, sent_names).mapInArrow(run, storage.schema(docs, keep, "__lw_lang string, __lw_score double, __lw_shares map<string,double>"))
+    return storage.mapped(docs, keep, lambda at, names: lambda batches: run(batches, at, names), "__lw_lang string, __lw_score double, __lw_shares map<string,double>")
 
 
 def languages(docs: DataFrame) -> DataFrame:

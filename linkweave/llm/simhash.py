@@ -73,15 +73,15 @@ def fingerprint(text: str | None, words: int) -> int:
 
 def with_fingerprints(docs: DataFrame, words: int, keep: list[str]) -> DataFrame:
     """``keep`` columns of docs and ``__lw_fp long`` (the fingerprint's 64 bits, signed)."""
-    sent = keep if "text" in keep else [*keep, "text"]
-    at = sent.index("text")
+    def run(at: int, names: list[str]):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = np.array([fingerprint(x.as_py(), words) for x in batch.column(at)], np.uint64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found.view(np.int64), pa.int64())], names=[*names, "__lw_fp"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(x.as_py(), words) for x in batch.column(at)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found.view(np.int64), pa.int64())], names=[*keep, "__lw_fp"])
+        return each
 
-    return storage.columns(docs, sent).mapInArrow(run, storage.schema(docs, keep, "__lw_fp long"))
+    return storage.mapped(docs, keep, run, "__lw_fp long")
 
 
 def _signed(x: int) -> int:
@@ -150,15 +150,25 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 
 
 def without_near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
-    """``docs``, of each group of near-duplicates only the row with the smallest doc_id."""
-    marked = storage.written(with_fingerprints(docs, words, docs.columns).withColumn("__lw_row", F.monotonically_increasing_id()), "marked")
-    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("__lw_row").alias("row"))
+    """``docs``, of each group of near-duplicates only the row with the smallest doc_id.
+
+    Only ids and fingerprints are written and shuffled; the ids that go are joined to
+    the texts last.  Where ids are null or repeated, rows get a number of their own,
+    which takes one more copy of the texts.
+    """
+    n = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if n["rows"] == n["ids"]:
+        source, key = docs, "doc_id"
+    else:
+        source, key = storage.written(docs.withColumn("__lw_row", F.monotonically_increasing_id()), "numbered"), "__lw_row"
+    marked = storage.written(with_fingerprints(source, words, list(dict.fromkeys(["doc_id", key]))), "marked")
     found = storage.written(classes(marked.select(F.col("__lw_fp").alias("fp")), radius), "classes")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col(key).alias("key"))
     by_fp = marked.groupBy(F.col("__lw_fp").alias("fp")).agg(F.min(row).alias("first"))
     first = by_fp.join(found, "fp", "left").groupBy(F.coalesce("class", "fp").alias("class")).agg(F.min("first").alias("first"))
-    stay = storage.written(first.select(F.col("first.row").alias("__lw_row")), "stay")
-    gone = storage.written(marked.select("__lw_row").join(stay, "__lw_row", "left_anti"), "gone")
-    return storage.columns(marked.join(gone, "__lw_row", "left_anti"), docs.columns)
+    stay = first.select(F.col("first.key").alias(key))
+    gone = storage.written(marked.select(key).join(stay, key, "left_anti"), "gone")
+    return storage.columns(source.join(gone, key, "left_anti"), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

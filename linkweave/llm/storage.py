@@ -1,9 +1,6 @@
-"""Files and intermediate tables in the folder that all executors share.
+"""Whole files in the shared folder, for executors, and column lists.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-that is unset (tests, a single machine) is a folder of our own used.  Lineage is
-cut by writing a table there, so a lost executor costs no recomputation of what
-came before and no block lives on one machine only.
+Tables and paths there are those of ``linkweave.sources.paths``.
 """
 
 from __future__ import annotations
@@ -11,30 +8,11 @@ from __future__ import annotations
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-#: Used only where the cluster names no shared folder.
-OWN_FOLDER = "file:///tmp/checkpoints"
+from linkweave.sources.paths import new_path, shared_folder, written
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """URI of the shared folder, with a scheme and no slash at its end."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = (named or OWN_FOLDER).rstrip("/")
-    return root if "://" in root or root.startswith("file:") else f"file://{root}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a Parquet table in the shared folder and read back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["columns", "filesystem", "mapped", "new_path", "shared_folder", "write_whole", "written"]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -57,19 +35,21 @@ def write_whole(uri: str, produce) -> int:
     return fs.get_file_info(path).size
 
 
-def read_range(uri: str, start: int = 0, length: int | None = None) -> bytes:
-    fs, path = filesystem(uri)
-    with fs.open_input_file(path) as f:
-        f.seek(start)
-        return f.read(length) if length is not None else f.read()
-
-
 def columns(df: DataFrame, names: list[str]) -> DataFrame:
     """The columns, whatever signs their names hold."""
     return df.select(*[df[f"`{n.replace('`', '``')}`"] for n in names])
 
 
-def schema(df: DataFrame, names: list[str], more: str) -> str:
-    """DDL of some columns of ``df`` and of ``more``."""
-    kinds = dict(df.dtypes)
-    return ", ".join([*(f"`{n.replace('`', '``')}` {kinds[n]}" for n in names), more])
+def mapped(df: DataFrame, keep: list[str], run, more: str) -> DataFrame:
+    """``keep`` columns of ``df`` and those of the DDL ``more``, by ``run(text's place, keep's new names)``, a mapInArrow function.
+
+    Text is sent once, as one of ``keep`` or after them.  Columns go by plain names
+    meanwhile, as mapInArrow takes no others.
+    """
+    sent = keep if "text" in keep else [*keep, "text"]
+    plain = [f"c{i}" for i in range(len(sent))]
+    out = columns(df, sent).toDF(*plain)
+    kinds = [k for _, k in out.dtypes]
+    names = plain[: len(keep)]
+    made = out.mapInArrow(run(sent.index("text"), names), ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds, strict=False)), more]))
+    return made.toDF(*keep, *made.columns[len(keep) :])

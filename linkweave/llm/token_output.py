@@ -31,8 +31,7 @@ from .chunks import ChunkMemo
 from .elias_fano import EliasFano
 
 MAGIC = b"LWTOKEN1"
-#: Ids that a task holds at once while it reads a shard's id array.
-_ENCODERS: dict = {}
+_ENCODERS: dict[tuple[int, int], ChunkMemo] = {}
 
 
 def _encoder(definition: str, width: int) -> ChunkMemo:
