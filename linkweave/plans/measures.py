@@ -583,7 +583,11 @@ def _(p):
 # ---- the whole plan -------------------------------------------------------------------------
 
 
-@define("link", sql(["won"], "SELECT s1_id, tid, round(score01, 6) AS score FROM won"))
+_FIRST40 = """d40 AS (SELECT s1_id, tid, score01 FROM (SELECT *, max(score01) OVER (PARTITION BY s1_id) AS top FROM scored WHERE rank <= 40) WHERE top >= 0.7 AND score01 >= greatest(0.7, top - 0.1)),
+w40 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY score01 DESC, s1_id) AS n FROM d40) WHERE n = 1)"""
+
+
+@define("link", sql(["scored"], "SELECT s1_id, tid, round(score01, 6) AS score FROM w40", _FIRST40))
 def _(p):
     from .link import link
 
