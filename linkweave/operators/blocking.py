@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave.functions.keys import ngrams
+from linkweave.sources.paths import written
 
 CHANNELS = {1: "ch1_core_name", 2: "ch2_top2_tokens", 3: "ch3_street_num_token", 4: "ch4_address_location", 5: "ch5_char3_k50", 6: "ch6_distinctive_token", 7: "ch7_relaxed_street_num"}
 
@@ -89,22 +90,34 @@ def df_cap(n: Column, ratio: float, most: int) -> Column:
     return F.least(F.lit(most), F.greatest(F.lit(20), by_ratio))
 
 
-def ngram_overlaps(queries: DataFrame, targets: DataFrame, max_df: int | None, mode: str = "char_3", ratio: float = 0.0, most: int = 3000) -> DataFrame:
+def numbered(df: DataFrame, column: str, number: str) -> DataFrame:
+    """``df`` with a number that orders rows as ``column`` does, written: long joins and groups then go by integers."""
+    return written(df.orderBy(column).withColumn(number, F.monotonically_increasing_id()), "numbered")
+
+
+def ngram_overlaps(queries: DataFrame, targets: DataFrame, max_df: int | None, mode: str = "char_3", ratio: float = 0.0, most: int = 3000, top: int | None = None) -> DataFrame:
     """(s1_id, tid, score, overlap, q_grams, t_grams) of ``(id, text)`` tables that share n-grams.
 
     n-grams with more than ``max_df`` records, or beyond the cap by ratio if that is
-    None, are left out before the join, which bounds every posting list.
+    None, are left out before the join, which bounds every posting list.  ``top``: only
+    the best so many of each record, with their ``rank``.
     """
-    index = postings(targets, "tid", mode)
-    n = targets.filter(F.size(ngrams(F.col("text"), mode)) > 0).agg(F.count("*").alias("n"))
+    q, t = numbered(queries, "s1_id", "_q"), numbered(targets, "tid", "_t")
+    index = postings(t, "_t", mode)
+    n = t.filter(F.size(ngrams(F.col("text"), mode)) > 0).agg(F.count("*").alias("n"))
     w = weights(index, n)
     if max_df is not None:
         w = w.filter(F.col("df") <= max_df)
     else:
         w = w.join(F.broadcast(n)).filter(F.col("df") <= df_cap(F.col("n"), ratio, most)).drop("n")  # one row
-    asked = postings(queries, "s1_id", mode).withColumnRenamed("grams", "q_grams").join(w, "ng")
+    asked = postings(q, "_q", mode).withColumnRenamed("grams", "q_grams").join(w, "ng")
     pairs = asked.join(index.withColumnRenamed("grams", "t_grams"), "ng")
-    return pairs.groupBy("s1_id", "tid").agg(F.round(F.sum("idf"), 9).alias("score"), F.count("*").alias("overlap"), F.max("q_grams").alias("q_grams"), F.max("t_grams").alias("t_grams"))
+    summed = pairs.groupBy("_q", "_t").agg(F.round(F.sum("idf"), 9).alias("score"), F.count("*").alias("overlap"), F.max("q_grams").alias("q_grams"), F.max("t_grams").alias("t_grams"))
+    if top is not None:
+        order = Window.partitionBy("_q").orderBy(F.desc("score"), "_t")
+        summed = summed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    named = summed.join(q.select("_q", "s1_id"), "_q").join(t.select("_t", "tid"), "_t")
+    return named.drop("_q", "_t")
 
 
 def best(scored: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -117,13 +130,12 @@ def ngram_candidates(queries: DataFrame, targets: DataFrame, config: BlockerConf
     def text(df: DataFrame, name: str) -> DataFrame:
         return df.filter("ch1 <> ''").select(F.col("entity_id").alias(name), F.col("ch1").alias("text"))
 
-    overlaps = ngram_overlaps(text(queries, "s1_id"), text(targets, "tid"), config.ngram_max_df)
-    return best(overlaps, config.ngram_top_k, F.desc("score"), F.asc("tid")).select("s1_id", "tid", "score", "rank")
+    return ngram_overlaps(text(queries, "s1_id"), text(targets, "tid"), config.ngram_max_df, top=config.ngram_top_k).select("s1_id", "tid", "score", "rank")
 
 
 def two_stage(queries: DataFrame, targets: DataFrame, pool: int = 100, k: int = 25, max_df: int | None = 3000, metric: str = "jaccard", mode: str = "char_3") -> DataFrame:
     """(s1_id, tid, sim, score, rank): a pool by weight, then the best of it by n-gram similarity."""
-    pooled = best(ngram_overlaps(queries, targets, max_df, mode), pool, F.desc("score"), F.asc("tid")).drop("rank")
+    pooled = ngram_overlaps(queries, targets, max_df, mode, top=pool).drop("rank")
     whole = F.col("q_grams") + F.col("t_grams") - F.col("overlap") if metric == "jaccard" else F.least("q_grams", "t_grams")
     ranked = pooled.withColumn("sim", F.col("overlap") / whole)
     return best(ranked, k, F.desc("sim"), F.desc("score"), F.asc("tid")).select("s1_id", "tid", "sim", "score", "rank")
