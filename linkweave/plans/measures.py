@@ -210,7 +210,7 @@ def _(p):
 _GRID = [round(0.10 + 0.05 * i, 2) for i in range(17)]
 
 
-@define("srch_grid", sql(["scored", "truth", "s"], """SELECT th, round(avg(f), 6) AS macro_f05 FROM (SELECT th, CASE WHEN nt = 0 AND np = 0 THEN 1.0 WHEN nt = 0 OR np = 0 OR nb = 0 THEN 0.0 ELSE 1.25 * (nb / np) * (nb / nt) / (0.25 * (nb / np) + nb / nt) END AS f FROM per_th) GROUP BY th""", f"""grid AS (SELECT unnest({_GRID}) AS th),
+@define("srch_grid", sql(["scored", "truth", "s"], """SELECT th, round(avg(f), 6) AS macro_f05 FROM (SELECT th, CASE WHEN nt = 0 AND np = 0 THEN 1.0 WHEN nt = 0 OR np = 0 OR nb = 0 THEN 0.0 ELSE 1.25 * (nb / np) * (nb / nt) / (0.25 * (nb / np) + nb / nt) END AS f FROM per_th) GROUP BY th""", f"""grid AS (SELECT CAST(unnest({_GRID}) AS DOUBLE) AS th),
 top AS (SELECT *, max(score01) OVER (PARTITION BY s1_id) AS top FROM scored),
 pred AS (SELECT th, s1_id, tid FROM grid, top WHERE top >= 0.5 AND score01 >= th AND top >= th),
 per_th AS (SELECT g.th, s.entity_id AS s1_id, (SELECT count(*) FROM truth z WHERE z.s1_id = s.entity_id) AS nt, coalesce(p.np, 0) AS np, coalesce(p.nb, 0) AS nb FROM grid g CROSS JOIN s
