@@ -26,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import storage
@@ -149,6 +149,27 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return marked.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the column that tells its rows apart: doc_id, or where ids are null or repeated a number, in a copy of the texts."""
+    n = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if n["rows"] == n["ids"]:
+        return docs, "doc_id"
+    return storage.written(docs.withColumn("__lw_row", F.monotonically_increasing_id()), "numbered"), "__lw_row"
+
+
+def first_row(key: str) -> Column:
+    """What the first row of a group is the least of; its ``key`` names the row."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col(key).alias("key"))
+
+
+def firsts(source: DataFrame, key: str, marked: DataFrame, by_fp: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
+    """``source``, of each class of ``found(fp, class)`` only the first of the rows that ``by_fp(fp, first)`` has."""
+    first = by_fp.join(found, "fp", "left").groupBy(F.coalesce("class", "fp").alias("class")).agg(F.min("first").alias("first"))
+    stay = first.select(F.col("first.key").alias(key))
+    gone = storage.written(marked.select(key).join(stay, key, "left_anti"), "gone")
+    return storage.columns(source.join(gone, key, "left_anti"), names)
+
+
 def without_near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
     """``docs``, of each group of near-duplicates only the row with the smallest doc_id.
 
@@ -156,19 +177,11 @@ def without_near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFra
     the texts last.  Where ids are null or repeated, rows get a number of their own,
     which takes one more copy of the texts.
     """
-    n = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-    if n["rows"] == n["ids"]:
-        source, key = docs, "doc_id"
-    else:
-        source, key = storage.written(docs.withColumn("__lw_row", F.monotonically_increasing_id()), "numbered"), "__lw_row"
+    source, key = numbered(docs)
     marked = storage.written(with_fingerprints(source, words, list(dict.fromkeys(["doc_id", key]))), "marked")
     found = storage.written(classes(marked.select(F.col("__lw_fp").alias("fp")), radius), "classes")
-    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col(key).alias("key"))
-    by_fp = marked.groupBy(F.col("__lw_fp").alias("fp")).agg(F.min(row).alias("first"))
-    first = by_fp.join(found, "fp", "left").groupBy(F.coalesce("class", "fp").alias("class")).agg(F.min("first").alias("first"))
-    stay = first.select(F.col("first.key").alias(key))
-    gone = storage.written(marked.select(key).join(stay, key, "left_anti"), "gone")
-    return storage.columns(source.join(gone, key, "left_anti"), docs.columns)
+    by_fp = marked.groupBy(F.col("__lw_fp").alias("fp")).agg(F.min(first_row(key)).alias("first"))
+    return firsts(source, key, marked, by_fp, found, docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
