@@ -4,14 +4,16 @@ A size-weighted sample of the keys gives quantile boundaries; records are dealt
 ranges between them.  The bytes of all ranges are then summed exactly; ranges that turn
 out overfull get a sample and splitters of their own, until none is, or their keys are
 all equal.  Shard borders are set on the exact sums, so shards differ by about one
-record.  Only keys and sizes are shuffled, never texts, and the sample's size is fixed.
+record.  The places are found on keys and sizes alone, with a sample of fixed size; then
+the whole records are range-partitioned by shard and slot and written, and all that the
+query returns is read from the shards' files.
 
 The key is (hash of the text, doc_id): equal texts lie side by side, in one shard unless
 a border falls among them or they are more than a shard holds; then doc_id splits them.
 
 Defined results: a null or empty text has size 1 and crc32 0; a null doc_id sorts first;
 rows with equal keys all stay and take neighbouring slots; an empty table gives no rows;
-other columns are not read.
+other columns are written as they are.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import storage
+from .simhash import numbered as row_numbered
 
 #: Keys in a sample; the splitters are at most so many.
 SAMPLE = 4096
@@ -97,20 +100,41 @@ def ranged(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dealt, sums
 
 
-def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
-    keys = storage.written(slim.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))), "keys")
+def numbered(keys: DataFrame, shards: int) -> DataFrame:
+    """(row, shard, slot) of all ``keys(row, h, id, size, text_crc32)``."""
     dealt, sums = ranged(keys)
     in_order = Window.orderBy("range")  # a row a range: at most RANGES a round and range
     before = sums.select("range", (F.sum("rows").over(in_order) - F.col("rows")).alias("rows_before"), (F.sum("bytes").over(in_order) - F.col("bytes")).alias("bytes_before"), F.sum("bytes").over(Window.partitionBy()).alias("total"))
     within = Window.partitionBy("range").orderBy("h", "id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumns({"_row": F.row_number().over(Window.partitionBy("range").orderBy("h", "id", "size", "text_crc32")), "_upto": F.sum("size").over(within)}).join(before, "range")
     middle = F.col("bytes_before") + F.col("_upto") - F.col("size") + F.col("size") / 2
-    numbered = storage.written(placed.select("doc_id", "size", "text_crc32", F.least(F.floor(middle * shards / F.col("total")), F.lit(shards - 1)).cast("int").alias("shard"), (F.col("rows_before") + F.col("_row") - 1).alias("place")), "placed")
-    first = numbered.groupBy("shard").agg(F.min("place").alias("first"))
-    return numbered.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))  # a row a shard
+    found = storage.written(placed.select("row", F.least(F.floor(middle * shards / F.col("total")), F.lit(shards - 1)).cast("int").alias("shard"), (F.col("rows_before") + F.col("_row") - 1).alias("place")), "placed")
+    first = found.groupBy("shard").agg(F.min("place").alias("first"))
+    return found.join(F.broadcast(first), "shard").select("row", "shard", (F.col("place") - F.col("first")).alias("slot"))  # a row a shard
+
+
+def write_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """Whole records in a folder a shard, in order of their slots; what is returned is read from those files.
+
+    The columns of docs, and ``__lw_slot long`` and ``__lw_shard int``.
+    """
+    source, key = row_numbered(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    slim = source.select(F.col(key).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
+    places = storage.written(numbered(storage.written(slim, "keys"), shards).select(F.col("row").alias("__lw_at"), F.col("slot").alias("__lw_slot"), F.col("shard").alias("__lw_shard")), "places")
+    records = storage.columns(source.join(places, source[key] == places["__lw_at"]), [*docs.columns, "__lw_slot", "__lw_shard"])
+    path = storage.new_path(docs.sparkSession, "shards")
+    records.repartitionByRange("__lw_shard", "__lw_slot").sortWithinPartitions("__lw_shard", "__lw_slot").write.partitionBy("__lw_shard").parquet(path)
+    return docs.sparkSession.read.schema(records.schema).parquet(path)
+
+
+def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every record that the shards' files hold."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return write_shards(docs, shards).select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), F.col("__lw_shard").alias("shard"), F.col("__lw_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
