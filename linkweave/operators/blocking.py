@@ -42,20 +42,24 @@ def exact_keys(profiles: DataFrame, id_name: str, channels: tuple[int, ...] = (1
     return each.filter(F.trim("key") != "")
 
 
-def capped(index: DataFrame, bucket: int) -> DataFrame:
-    """The first ``bucket`` postings of each key in order of id."""
-    return index.withColumn("_n", F.row_number().over(Window.partitionBy("channel", "key").orderBy("tid"))).filter(F.col("_n") <= bucket).drop("_n")
+def _country(by_country: bool) -> list[str]:
+    return ["country"] if by_country else []
 
 
-def token_frequencies(index: DataFrame) -> DataFrame:
-    """(key, df) of the distinctive tokens."""
-    return index.filter("channel = 6").groupBy("key").agg(F.count("*").alias("df"))
+def capped(index: DataFrame, bucket: int, by_country: bool = False) -> DataFrame:
+    """The first ``bucket`` postings of each key, or of each key of a country, in order of id."""
+    return index.withColumn("_n", F.row_number().over(Window.partitionBy("channel", "key", *_country(by_country)).orderBy("tid"))).filter(F.col("_n") <= bucket).drop("_n")
 
 
-def queried_tokens(queries: DataFrame, frequencies: DataFrame, n: int, max_df: int) -> DataFrame:
+def token_frequencies(index: DataFrame, by_country: bool = False) -> DataFrame:
+    """(key, df) of the distinctive tokens, or (key, country, df)."""
+    return index.filter("channel = 6").groupBy("key", *_country(by_country)).agg(F.count("*").alias("df"))
+
+
+def queried_tokens(queries: DataFrame, frequencies: DataFrame, n: int, max_df: int, by_country: bool = False) -> DataFrame:
     """(key, s1_id, df): the ``n`` rarest indexed tokens of each record, of those with ``max_df`` records at most."""
-    tokens = queries.select(F.col("entity_id").alias("s1_id"), F.posexplode("ch6").alias("pos", "key"))
-    known = tokens.join(frequencies.filter(F.col("df") <= max_df), "key")
+    tokens = queries.select(F.col("entity_id").alias("s1_id"), *_country(by_country), F.posexplode("ch6").alias("pos", "key"))
+    known = tokens.join(frequencies.filter(F.col("df") <= max_df), ["key", *_country(by_country)])
     rank = F.row_number().over(Window.partitionBy("s1_id").orderBy("df", "pos"))
     return known.withColumn("_n", rank).filter(F.col("_n") <= n).select("key", "s1_id", "df")
 
@@ -66,10 +70,10 @@ def exact_candidates(queries: DataFrame, targets: DataFrame, config: BlockerConf
     index = exact_keys(targets, "tid", wanted)
     asked = exact_keys(queries, "s1_id", tuple(c for c in wanted if c != 6)).select("channel", "key", "s1_id", F.lit(0).cast("long").alias("df"), "country")
     if 6 in wanted:
-        rare = queried_tokens(queries, token_frequencies(index), config.tokens_to_query, config.token_max_df)
+        rare = queried_tokens(queries, token_frequencies(index, config.by_country), config.tokens_to_query, config.token_max_df, config.by_country)
         asked = asked.unionByName(rare.join(queries.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id").select(F.lit(6).alias("channel"), "key", "s1_id", "df", "country"))
-    on = ["channel", "key", *(["country"] if config.by_country else [])]
-    found = capped(index, config.bucket) if config.by_country else capped(index, config.bucket).drop("country")
+    on = ["channel", "key", *_country(config.by_country)]
+    found = capped(index, config.bucket, True) if config.by_country else capped(index, config.bucket).drop("country")
     return asked.join(found, on).select("s1_id", "tid", "channel", "df")
 
 
