@@ -40,16 +40,77 @@ def test_counts_of_all_cases(spark, documents, nothing):
 
 
 def test_no_python_in_the_plan(spark, documents):
-    plan = quality.with_counts(documents)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    for df in (quality.counted(documents), quality.limits(quality.sketch(quality.counted(documents))), quality.quality(documents), quality.good(documents)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def test_thresholds_reject_what_is_unlike_its_group(spark):
+def test_columns_of_any_name_pass(spark, documents):
+    named = documents.withColumns({c: F.lit(c) for c in ("row", "t", "words", "lines", "hashes", "sorted", "counts", "trimmed", "of_lang", "failed", "__lw_text", "__lw_counts")})
+    out = quality.good(named, least_words=1)
+    assert out.columns == named.columns
+    assert out.exceptAll(named).count() == 0 and out.count() > 0
+
+
+def brute_bucket(v):
+    spare = max(0, v.bit_length() - 10)
+    return v >> spare << spare
+
+
+def brute_limits(ratios):
+    """(least, most) by (group, ratio) of ``{(group, ratio): [bucket]}``, written apart from the operator."""
+    def body(values, beyond):
+        v, n = sorted(values), len(values)
+        return [v[-(-n * p // 1000) - 1] for p in (beyond, 500, 1000 - beyond)]
+
+    out = {}
+    for (group, name), own in ratios.items():
+        beyond = quality.BEYOND[name]
+        every = [x for (_, r), v in ratios.items() if r == name for x in v]
+        prior = 10_000 // beyond
+        low, mid, high = ((len(own) * a + prior * b) // (len(own) + prior) for a, b in zip(body(own, beyond), body(every, beyond), strict=True))
+        out[group, name] = (low - 3 * max(mid - low, 1), high + 3 * max(high - mid, 1))
+    return out
+
+
+def group_texts():
+    """Three groups: plain prose, one where symbols are common and words long, and a small one."""
     rng = np.random.default_rng(0)
-    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(80))
-    rows = [(i, text(), "en", "s", 0) for i in range(100)] + [(500, text().replace(" ", " # "), "en", "s", 0)]
-    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
-    assert not got[500] and all(got[i] for i in range(100))
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    prose = lambda: " ".join(word(5) for _ in range(80))
+    code = lambda k: " ".join(word(12 + k % 5) + ("$" if i < k else "") for i in range(60))
+    rows = [(i, prose(), "en", "s", 0) for i in range(300)] + [(1000 + i, code(i % 30), "en", "code", 0) for i in range(300)] + [(2000 + i, prose(), "de", "s", 0) for i in range(7)]
+    rows += [(3000, prose().replace(" ", " # "), "en", "s", 0), (3001, code(25), "en", "s", 0), (3002, code(25), "en", "code", 0), (3003, " ".join(word(3) for _ in range(80)), "en", "code", 0), (3004, prose().replace(" ", " # "), "de", "s", 0)]
+    rows += [(3005, "\n".join([prose()] + ["same line"] * 30), "en", "s", 0), (3006, " ".join(word(40) for _ in range(90)), "en", "code", 0)]
+    return rows
+
+
+def test_limits_equal_brute_force_and_follow_their_group(spark):
+    docs = spark.createDataFrame(group_texts(), "doc_id long, text string, lang string, source string, n_chars long")
+    seen = {}
+    for r in docs.collect():
+        n, chars, symbols, dup, rep = brute_counts(r.text)
+        lines = len([x for x in r.text.split("\n") if x.strip(" \t\n\x0b\x0c\r")])
+        if n >= 50 and 100 * rep <= 50 * n:
+            for name, v in (("mean_length", 100 * chars // (n + 1)), ("symbols", 1000 * symbols // (chars + 200)), ("dup_lines", 1000 * dup // (lines + 2)), ("repeats", 1000 * rep // (n + 20))):
+                seen.setdefault(((r.lang, r.source), name), []).append((r.doc_id, brute_bucket(v)))
+    limits = brute_limits({k: [b for _, b in v] for k, v in seen.items()})
+    got = {((r.lang, r.source), r.ratio): (r.least, r.most) for r in quality.limits(quality.sketch(quality.counted(docs))).collect()}
+    assert got == limits
+    plain, code = (("en", "s"), ("en", "code"))
+    assert limits[plain, "symbols"][1] < limits[code, "symbols"][1] and limits[plain, "mean_length"][1] < limits[code, "mean_length"][1]
+    kept = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    fails = {i for (group, name), v in seen.items() for i, b in v if b > limits[group, name][1] or (name == "mean_length" and b < limits[group, name][0])}
+    assert {i for i, k in kept.items() if not k} == fails | {i for i in kept if i not in {j for v in seen.values() for j, _ in v}}
+    # The same text is fit for one group and not for another; every ratio rejects by its own group's sketch.
+    assert not kept[3000] and not kept[3001] and kept[3002] and not kept[3003] and not kept[3004] and not kept[3005] and not kept[3006]
+    assert all(kept[i] for i in kept if i < 3000)
+
+
+def test_buckets_have_no_ceiling(spark):
+    values = [0, 1, 1023, 1024, 1025, 2047, 2048, 2051, 123_456_789, 1 << 50]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality.bucket(F.col("v"))).collect()]
+    assert got == [0, 1, 1023, 1024, 1024, 2046, 2048, 2048, brute_bucket(123_456_789), 1 << 50]
 
 
 @pytest.fixture(scope="module")
