@@ -1,166 +1,418 @@
 """Exact top-k search by inner product with vector-approximation files.
 
-Each block of vectors has an approximation: every component as a cell of a few bits on
-a grid of the block's own range.  A query's cells bound each inner product from above
-and below.  The scan reads the approximations alone; the k-th best lower bound is a
-threshold that the k best must reach; vectors are then read in order of their upper
-bounds until the k-th exact score is at least the next bound.
-
-Queries and vectors are packed in blocks; each task keeps the k best of a query block
-over the vector blocks that it was dealt, starting the next block with the threshold it
-has, and the last step merges at most k rows a query and task.  A block pair is one
-row, so no pair of vectors is ever a row of a shuffle.
-
-Scores are integers: component x counts as floor(scale * x), sums are exact in 64 bits.
-
-Defined results: vectors that are null, empty or hold null or non-finite components, or
-ones of 2^24 and more after scaling, take no part; vectors meet those of equal length
-only; rows with a null id take no part; rows with equal ids are rows of their own, but
-never meet queries of the same id; ties go to the smaller id; with fewer than k rows all
-are returned; an empty table gives no rows; other columns are not read.
+Two files hold a tile of vectors: one their approximations, every component as a cell of
+a few bits on a grid of its block's own range, and one the exact vectors, record after
+record.  A scan task reads approximations alone.  A query's cells bound each inner
+product from above and below; the k-th best lower bound seen is a threshold, and what
+cannot reach it is dropped.  Exact vectors are then read from their places in the second
+file, in order of their upper bounds, until a query's k-th exact score is above the next
+bound.
+
+Only queries and bounds are dealt out: a scan task has one tile of queries and a share
+of the vector tiles, and keeps its thresholds from tile to tile, so a query is in the
+shuffles once for each of a few shares, however many vectors there are.  Equal vectors
+are scanned once, as one class with its smallest ids, and equal queries are asked once,
+so a vector that a third of all rows have makes no square of anything.
+
+Scores are whole numbers: component x counts as floor(scale * x).  Vectors whose
+whole numbers stay below ``LARGEST`` are scored in 64 bits; others ("wide") have
+floating-point numbers for cells and are scored in unbounded integers.
+
+Defined results: vectors that are null, empty (a choice: there is no product to rank) or
+hold null or non-finite components take no part, all other finite ones do; vectors meet
+those of equal length only; rows with a null id take no part; a row that repeats both id
+and vector counts once, other rows of equal ids are rows of their own that never meet
+queries of that id; ties go to the smaller id; with fewer than k rows all are
+returned; a score that 64 bits cannot hold is ranked right and returned as null; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import storage
 
 K = 20
 SCALE = 64
-#: Vectors and queries of a block.
-BLOCK, QUERY_BLOCK = 8192, 1024
 #: Cells of a component: 2 to this many.
-CELL_BITS = 4
-#: Vector blocks are dealt to groups, a task each: so many at least, and one for each so many vectors.
-GROUPS, GROUP_ROWS = 8, 4 * BLOCK
-_LARGEST = 1 << 24
+CELL_BITS = 5
+#: Vectors of a block, which has a grid of its own; vectors and queries of a tile, about.
+BLOCK, TILE, QUERY_TILE = 4096, 1 << 18, 4096
+#: Queries that are bounded at once, and that read exact vectors at once.
+AT_ONCE = 256
+#: Scan tasks that are aimed at where there are few tiles of queries.
+TASKS = 24
+#: Whole numbers of wide vectors are this large at least.
+LARGEST = 1 << 24
+#: Bounds are held with queries of about 2 ** LIFT and vectors divided by 2 ** SHRINK: nothing overflows, or is lost below.
+LIFT, SHRINK = 100, 128
+#: Neighbours of an exact file that are no further apart are read together.
+GAP = 1 << 15
+#: Rows of a class's results that its queries are dealt to.
+SALT = 16
+TILES = "dim int, wide boolean, cells string, exact string, rows long"
 
 
-def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id long, v array<long>) of those that take part."""
-    v = F.col(vector_col).cast("array<double>")
-    fit = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < _LARGEST / scale) & ~F.isnan(x))
-    return df.filter(F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
+def whole_parts(x: Column, scale: int) -> Column:
+    """floor(scale * x) / scale for a scale that is a power of two: exact, and equal where the whole numbers are."""
+    return F.when(F.abs(x) < float(1 << 52), F.floor(x * scale).cast("double") / scale).otherwise(x)
 
 
-def blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """(dim, n, ids, data): vectors packed as 64-bit integers, at most ``rows`` a block."""
+def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
+    """(id long, v array<double>) of those that take part; the whole numbers are ``scale * v``."""
+    if scale < 1 or scale & (scale - 1):
+        raise ValueError("the scale must be a power of two")
+    v = df[vector_col].cast("array<double>")
+    fit = df[id_col].isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.filter(F.coalesce(fit, F.lit(False))).select(df[id_col].cast("long").alias("id"), F.transform(v, lambda x: whole_parts(x, scale)).alias("v"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
 
-        def block(dim: int) -> pa.RecordBatch:
-            ids, data = zip(*held.pop(dim), strict=True)
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [np.array(ids, "<i8").tobytes()], "data": [np.stack(data).astype("<i8").tobytes()]})
+def keyed(vectors: DataFrame) -> DataFrame:
+    """(id, v, h1, h2): 128 bits stand for a vector."""
+    return vectors.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
 
-        for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = v.values.to_numpy()
-                held.setdefault(len(x), []).append((i, x))
-                if len(held[len(x)]) == rows:
-                    yield block(len(x))
-        for dim in list(held):
-            yield block(dim)
 
-    return vectors.mapInArrow(run, "dim int, n int, ids binary, data binary")
+def whole_numbers(v: np.ndarray, scale: int) -> list[int]:
+    """``scale * v`` of any size."""
+    return [int(x * scale) if abs(x) < 2.0**52 else int(x) * scale for x in v.tolist()]
 
 
-class Approximation:
-    """Cells of a block's vectors and the bounds they give."""
+class Grid:
+    """Cells of a block's vectors of whole numbers below LARGEST, and the bounds they give."""
 
-    def __init__(self, data: np.ndarray, bits: int = CELL_BITS):
+    def __init__(self, low: np.ndarray, width: np.ndarray, cells: np.ndarray):
+        self.low, self.width, self.cells = low, width, cells
+
+    @classmethod
+    def of(cls, data: np.ndarray, bits: int = CELL_BITS) -> Grid:
         low, high = data.min(axis=0), data.max(axis=0)
-        self.width = (high - low) // (1 << bits) + 1
-        self.low = low
-        self.cells = ((data - low) // self.width).astype(np.uint8)
+        width = (high - low) // (1 << bits) + 1
+        return cls(low, width, ((data - low) // width).astype(np.uint8))
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lower, upper) bounds of each query's inner product with each vector."""
-        low = (self.cells.astype(np.float64) * self.width + self.low).T
-        base = queries.astype(np.float64) @ low  # exact below 2^53; else the slack below covers it
+        floor = (self.cells.astype(np.float64) * self.width + self.low).T
+        base = queries @ floor
         reach = self.width.astype(np.float64) - 1
-        up = np.maximum(queries, 0) @ reach
-        down = np.minimum(queries, 0) @ reach
-        slack = np.abs(queries).astype(np.float64) @ np.maximum(np.abs(low).max(axis=1), 1) * queries.shape[1] * 2.0**-50
-        slack = np.where(slack < 2.0**-6, 0.0, slack + 1)
-        return base + (down - slack)[:, None], base + (up + slack)[:, None]
+        # More than the sums can have been rounded by; nothing is rounded where they are short.
+        slack = np.abs(queries) @ np.abs(floor).max(axis=1) * (queries.shape[1] * 2.0**-50)
+        return base + (np.minimum(queries, 0) @ reach - slack)[:, None], base + (np.maximum(queries, 0) @ reach + slack)[:, None]
+
 
+class Floats:
+    """A block of wide vectors with floating-point numbers, divided by 2 ** SHRINK, for cells."""
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query, (row, ids, scores) of this block's candidates for its k best.
+    def __init__(self, cells: np.ndarray):
+        self.cells = cells
 
-    ``floor``: scores that the query already has k times; less is of no use.
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        base = queries @ self.cells.T
+        slack = np.abs(queries) @ np.abs(self.cells).T * (queries.shape[1] * 2.0**-50)
+        return base - slack, base + slack
+
+
+def record_type(dim: int, wide: bool, depth: int) -> np.dtype:
+    """What an exact file holds of a class: its smallest ids, in order, and its vector."""
+    return np.dtype([("n", "<i8"), ("ids", "<i8", (depth,)), ("v", "<f8" if wide else "<i8", (dim,))])
+
+
+def write_blocks(blocks: Iterator[tuple[list[list[int]], np.ndarray]], wide: bool, scale: int, depth: int, cells, exact) -> int:
+    """Write both files of a tile from blocks of (ids, vectors); returns the number of rows."""
+    total = 0
+    for ids, data in blocks:
+        whole = data if wide else np.floor(data * scale).astype(np.int64)
+        record = np.zeros(len(data), record_type(data.shape[1], wide, depth))
+        record["n"], record["v"] = [len(x) for x in ids], whole
+        for i, x in enumerate(ids):
+            record["ids"][i, : len(x)] = x
+        exact.write(record.tobytes())
+        held = io.BytesIO()
+        np.save(held, np.array([(x[0], x[1] if len(x) > 1 else x[0]) for x in ids], np.int64))
+        if wide:
+            np.save(held, np.ldexp(data, scale.bit_length() - 1 - SHRINK))
+        else:
+            grid = Grid.of(whole)
+            for x in (grid.low, grid.width, grid.cells):
+                np.save(held, x)
+        cells.write(len(data).to_bytes(8, "little") + len(held.getvalue()).to_bytes(8, "little") + held.getvalue())
+        total += len(data)
+    return total
+
+
+def read_blocks(uri: str, wide: bool) -> Iterator[tuple[int, np.ndarray, Grid | Floats]]:
+    """(first row, each row's two smallest ids, approximations) of the blocks of a tile, one at a time."""
+    fs, path = storage.filesystem(uri)
+    at = 0
+    with fs.open_input_stream(path) as f:
+        while head := f.read(16):
+            held = io.BytesIO(f.read(int.from_bytes(head[8:], "little")))
+            yield at, np.load(held), Floats(np.load(held)) if wide else Grid(np.load(held), np.load(held), np.load(held))
+            at += int.from_bytes(head[:8], "little")
+
+
+def write_tiles(classes: DataFrame, folder: str, scale: int, depth: int) -> str:
+    """Write ``classes(v, ids)`` to tiles, whole or not at all; returns the path of their manifest (TILES)."""
+    dim, wide = F.size("v"), F.exists("v", lambda x: F.abs(x) >= LARGEST / scale)
+    n = classes.count()
+    dealt = classes.select("ids", "v", dim.alias("dim"), wide.alias("wide")).repartition(max(1, min(TASKS, n // BLOCK), -(-n // TILE)), F.xxhash64("v"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from uuid import uuid4
+
+        rows = (row for b in batches for row in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(0).to_pylist(), (x.values.to_numpy() for x in b.column(1)), strict=True))
+        for (dim, wide), own in groupby(rows, lambda r: r[:2]):
+
+            def blocks() -> Iterator[tuple[list[list[int]], np.ndarray]]:
+                ids, data = [], []
+                for _, _, x, v in own:
+                    ids.append(x)
+                    data.append(v)
+                    if len(data) == BLOCK:
+                        yield ids, np.stack(data)
+                        ids, data = [], []
+                if data:
+                    yield ids, np.stack(data)
+
+            tile, counts = uuid4().hex, []
+            cells, exact = (f"{folder}/{x}/{tile}" for x in ("cells", "exact"))
+            storage.write_whole(cells, lambda c: storage.write_whole(exact, lambda e: counts.append(write_blocks(blocks(), wide, scale, depth, c, e))))
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "wide": pa.array([wide]), "cells": [cells], "exact": [exact], "rows": pa.array(counts, pa.int64())})
+
+    path = f"{folder}/tiles"
+    dealt.sortWithinPartitions("dim", "wide").mapInArrow(write, TILES).write.parquet(path)
+    return path
+
+
+def tiles_of(manifest: str, dim: int) -> list[dict]:
+    """The tiles of vectors of this length, in an order that is the same for all tasks."""
+    import pyarrow.dataset as ds
+
+    fs, path = storage.filesystem(manifest)
+    rows = ds.dataset(path, format="parquet", filesystem=fs).to_table(filter=ds.field("dim") == dim).to_pylist()
+    return sorted(rows, key=lambda r: r["exact"])
+
+
+def lifted(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Queries whose largest component is about 2 ** LIFT, and the powers of two they were multiplied by."""
+    _, power = np.frexp(np.abs(data).max(axis=1))
+    return np.ldexp(data, LIFT - power[:, None]), LIFT - power
+
+
+class Threshold:
+    """The k best lower bounds of each query, and the rows whose upper bounds reach the last of them."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.best = np.full((queries, k), -np.inf)
+        #: For each query (tile, rows, lower, upper, smallest ids).
+        self.rows: list[list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(queries)]
+
+    def add(self, first: int, tile: int, row: int, lower: np.ndarray, upper: np.ndarray, ids: np.ndarray) -> None:
+        """Bounds of queries from ``first`` on and rows of ``tile`` from ``row`` on; -inf: the row is barred."""
+        k, own = min(self.k, lower.shape[1]), slice(first, first + len(lower))
+        both = np.concatenate([self.best[own], np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k :]], axis=1)
+        self.best[own] = np.partition(both, k, axis=1)[:, k:]
+        near = (upper >= self.best[own].min(axis=1)[:, None]) & (upper > -np.inf)
+        for q in np.flatnonzero(near.any(axis=1)):
+            at = np.flatnonzero(near[q])
+            self.rows[first + q].append((tile, at + row, lower[q, at], upper[q, at], ids[at]))
+
+    def prune(self) -> None:
+        """Drop what cannot be among the k best; of rows known to tie with the last of them, keep the k of smallest ids."""
+        for q, least in enumerate(self.best.min(axis=1)):
+            kept, ties = [], []
+            for t, *of_rows in self.rows[q]:
+                _, lower, upper, ids = of_rows
+                tie = (upper == least) & (lower == least)
+                ties.append(ids[tie])
+                kept.append((t, of_rows, upper >= least, tie))
+            last = np.sort(np.concatenate(ties))[: self.k] if ties else np.zeros(0, np.int64)
+            most = last[-1] if len(last) == self.k else np.iinfo(np.int64).max
+            chosen = ((t, of_rows, ok & ~(tie & (of_rows[3] > most))) for t, of_rows, ok, tie in kept)
+            self.rows[q] = [(t, *(x[ok] for x in of_rows)) for t, of_rows, ok in chosen if ok.any()]
+
+
+def scan(tiles: list[dict], data: np.ndarray, own: list[int | None], k: int) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """For each query the (tile, rows, upper bounds) of what may be among its k best; ``own``: an id that is barred."""
+    queries, _ = lifted(data)
+    barred = np.array([x is not None for x in own])
+    names = np.array([0 if x is None else x for x in own], np.int64)
+    found = Threshold(len(data), k)
+    for t, tile in enumerate(tiles):
+        for row, ids, block in read_blocks(tile["cells"], tile["wide"]):
+            for first in range(0, len(queries), AT_ONCE):
+                at = slice(first, first + AT_ONCE)
+                lower, upper = block.bounds(queries[at])
+                if not tile["wide"]:
+                    lower, upper = np.ldexp(lower, -SHRINK), np.ldexp(upper, -SHRINK)
+                if not barred[at].any():
+                    found.add(first, t, row, lower, upper, ids[:, 0])
+                    continue
+                for q in range(first, first + len(lower)):  # few: ids of several vectors
+                    mine = (ids == names[q]) & barred[q]
+                    out = mine.all(axis=1)  # rows with no other id than the query's
+                    lower[q - first, out] = upper[q - first, out] = -np.inf
+                    found.add(q, t, row, lower[q - first : q - first + 1], upper[q - first : q - first + 1], np.where(mine[:, 0], ids[:, 1], ids[:, 0]))
+        found.prune()
+    return [[(t, rows, upper) for t, rows, _, upper, _ in held] for held in found.rows]
+
+
+class ExactFiles:
+    """Exact vectors by file and row."""
+
+    def __init__(self, depth: int):
+        self.depth, self.open = depth, {}
+
+    def records(self, uri: str, dim: int, wide: bool, rows: list[int]) -> dict[tuple[str, int], np.void]:
+        """Those of the ascending ``rows``; neighbours are read together."""
+        if uri not in self.open:
+            fs, path = storage.filesystem(uri)
+            self.open[uri] = fs.open_input_file(path)
+        kind, at, out = record_type(dim, wide, self.depth), np.array(rows, np.int64), {}
+        for run in np.split(at, np.flatnonzero(np.diff(at) * kind.itemsize > GAP) + 1):
+            self.open[uri].seek(int(run[0]) * kind.itemsize)
+            held = np.frombuffer(self.open[uri].read(int(run[-1] - run[0] + 1) * kind.itemsize), kind)
+            for r in run.tolist():
+                out[uri, r] = held[r - int(run[0])].copy()  # not the bytes between
+        return out
+
+    def close(self) -> None:
+        for f in self.open.values():
+            f.close()
+
+
+def exact_score(query: np.ndarray, vector: np.ndarray, wide: bool, scale: int) -> int:
+    """Inner product of whole numbers; ``query`` as given, ``vector`` as its file holds it."""
+    if not wide and np.abs(query).max() < LARGEST / scale:
+        return int(np.floor(query * scale).astype(np.int64) @ vector)
+    return sum(a * b for a, b in zip(whole_numbers(query, scale), whole_numbers(vector, scale) if wide else vector.tolist(), strict=True))
+
+
+def is_above(score: int, bound: float, power: int) -> bool:
+    """Whether a score is above ``bound * 2 ** power``, in whole numbers."""
+    top, bottom = bound.as_integer_ratio()
+    return score * bottom > top << power if power >= 0 else (score * bottom) << -power > top
+
+
+def refined(queries: np.ndarray, own: list[int | None], candidates: list[list[tuple[float, str, bool, int]]], files: ExactFiles, scale: int, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(vectors read, (id, score) of the k best and ties) of each query, best first.
+
+    ``candidates``: (upper bound, file, wide, row) in descending order of bounds.  All
+    queries read their next k at once, so that a file is read in its order.
+    """
+    _, powers = lifted(queries)
+    shift = [SHRINK + scale.bit_length() - 1 - int(p) for p in powers]
+    at, found, left = [0] * len(queries), [[] for _ in queries], list(range(len(queries)))
+    while left:
+        wanted: dict[tuple[str, bool], set[int]] = {}
+        for q in left:
+            for _, uri, wide, row in candidates[q][at[q] : at[q] + k]:
+                wanted.setdefault((uri, wide), set()).add(row)
+        held = {}
+        for (uri, wide), rows in sorted(wanted.items()):
+            held |= files.records(uri, queries.shape[1], wide, sorted(rows))
+        going = []
+        for q in left:
+            for _, uri, wide, row in candidates[q][at[q] : at[q] + k]:
+                r = held[uri, row]
+                score = exact_score(queries[q], r["v"], wide, scale)
+                found[q] += [(-score, i) for i in r["ids"][: r["n"]].tolist() if i != own[q]]
+            found[q] = sorted(found[q])[:k]
+            at[q] = min(at[q] + k, len(candidates[q]))
+            # The next may still reach the k-th, were it as a tie.
+            if at[q] < len(candidates[q]) and not (len(found[q]) == k and is_above(-found[q][-1][0], candidates[q][at[q]][0], shift[q])):
+                going.append(q)
+        left = going
+    for q, best in enumerate(found):
+        yield at[q], [(i, -s) for s, i in best]
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
+    """(query_id, rank, vec_id, score, reads) from ``vectors(id, v)`` and ``queries(id, v)`` of ``integer_vectors``.
+
+    ``reads``: how many exact vectors were read for the query and those equal to it.
     """
-    lower, upper = Approximation(data).bounds(queries)
-    own = query_ids[:, None] == ids[None, :]
-    lower[own] = upper[own] = -np.inf
-    k = min(k, len(ids))
-    least = np.maximum(np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k], floor)
-    for q in range(len(queries)):
-        near = np.flatnonzero((upper[q] >= least[q]) & (upper[q] > -np.inf))
-        near = near[np.argsort(-upper[q][near], kind="stable")]
-        got_ids, scores, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        while at < len(near):
-            step = near[at : at + max(k, 64)]
-            at += len(step)
-            scores = np.concatenate([scores, data[step] @ queries[q]])
-            got_ids = np.concatenate([got_ids, ids[step]])
-            if at < len(near) and len(scores) >= k and np.partition(scores, len(scores) - k)[len(scores) - k] > upper[q][near[at]]:
-                break  # certain: no other can reach the k-th, not even as a tie
-        yield q, got_ids, scores
-
-
-def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score) from ``vectors(id, v)`` and ``queries(id, v)``."""
-    groups = max(GROUPS, -(-vectors.count() // GROUP_ROWS))
-    dealt = vectors.repartition(groups, F.xxhash64("id", "v"))
-    spread = storage.written(blocks(dealt, BLOCK).withColumn("g", F.pmod(F.xxhash64("ids", "data"), F.lit(groups)).cast("int")), "vector-blocks")
-    asked = storage.written(blocks(queries.repartition(max(1, groups // 8), F.xxhash64("id", "v")), QUERY_BLOCK), "query-blocks")
-    sent = asked.withColumnsRenamed({"ids": "q_ids", "data": "q_data", "n": "q_n"}).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = sent.join(spread, ["g", "dim"]).sortWithinPartitions("q_ids").select("dim", "q_ids", "q_data", "ids", "data")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, best, q, q_ids = None, [], None, None
-
-        def out() -> pa.RecordBatch:
-            n = [len(b[0]) for b in best]
-            return pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(q_ids, n), pa.int64()), "vec_id": pa.array(np.concatenate([b[0] for b in best]), pa.int64()), "score": pa.array(np.concatenate([b[1] for b in best]), pa.int64())})
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim, key, q_data, ids, data = (batch.column(c)[i].as_py() for c in range(5))
-                if (dim, key) != current:
-                    if current is not None:
-                        yield out()
-                    current, q_ids, q = (dim, key), np.frombuffer(key, "<i8"), np.frombuffer(q_data, "<i8").reshape(-1, dim)
-                    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q_ids)
-                floor = np.array([float(s[-1]) if len(s) == k else -np.inf for _, s in best])
-                for row, got, scores in best_of_block(q, q_ids, np.frombuffer(data, "<i8").reshape(-1, dim), np.frombuffer(ids, "<i8"), k, floor):
-                    best[row] = _top(np.concatenate([best[row][0], got]), np.concatenate([best[row][1], scores]), k)
-        if current is not None:
-            yield out()
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark, depth = vectors.sparkSession, k + 1
+    folder = storage.new_path(spark, "vectors")
+    rows = keyed(vectors)
+    # A class needs no more than its k + 1 smallest ids: a query's own is one of them at most.
+    first = Window.partitionBy("h1", "h2").orderBy("id")
+    few = rows.select("id", "h1", "h2").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= depth)
+    ids = few.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    classes = storage.written(rows.groupBy("h1", "h2").agg(F.first("v").alias("v")).join(ids, ["h1", "h2"]).select("v", "ids"), "classes")
+    manifest = write_tiles(classes, folder, scale, depth)
+
+    asked = keyed(queries)
+    # Ids of several vectors: their queries are asked apart, as they bar more than one class.
+    several = storage.written(rows.groupBy("id").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).filter("a <> b or c <> d").select("id", F.col("id").alias("own")), "several")
+    members = storage.written(asked.select("id", "h1", "h2").distinct().join(several, "id", "left"), "members")
+    units = storage.written(asked.join(several, "id", "left").groupBy("h1", "h2", "own").agg(F.first("v").alias("v")), "units")
+    n = units.count()
+    query_tiles = max(1, -(-n // QUERY_TILE))
+    shares = max(1, -(-TASKS // query_tiles))
+    key = F.pmod(F.xxhash64("h1", "h2", "own"), F.lit(query_tiles)).cast("int") * shares + F.col("share")
+    spread = units.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("key", key).withColumn("dim", F.size("v"))
+    dealt = spread.select("key", "dim", "share", "h1", "h2", "own", "v").repartition(query_tiles * shares, "key").sortWithinPartitions("key", "dim")
+    candidate = "array<struct<upper:double,exact:string,wide:boolean,row:long>>"
+    near_type = pa.list_(pa.struct([("upper", pa.float64()), ("exact", pa.string()), ("wide", pa.bool_()), ("row", pa.int64())]))
+    best_type = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.int64())]))
+
+    def run_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(6)), (x.values.to_numpy() for x in b.column(6)), strict=True))
+        for (_, dim, share), group in groupby(records, lambda r: r[:3]):
+            group = list(group)
+            tiles = tiles_of(manifest, dim)[share::shares]
+            near = [[{"upper": u, "exact": tiles[t]["exact"], "wide": tiles[t]["wide"], "row": at} for t, rows, upper in held for at, u in zip(rows.tolist(), upper.tolist(), strict=True)] for held in scan(tiles, np.stack([r[6] for r in group]), [r[5] for r in group], depth)]
+            for at in range(0, len(group), AT_ONCE):
+                part = group[at : at + AT_ONCE]
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in part], pa.int64()) for i in (3, 4, 5)), pa.array([r[6] for r in part], pa.list_(pa.float64())), pa.array(near[at : at + AT_ONCE], near_type)], names=["h1", "h2", "own", "v", "near"])
+
+    def run_refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = ExactFiles(depth)
+
+        def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for _, group in groupby(sorted(held, key=lambda x: len(x[3])), lambda x: len(x[3])):
+                group = list(group)
+                reads, best = zip(*refined(np.stack([x[3] for x in group]), [x[2] for x in group], [x[4] for x in group], files, scale, depth), strict=True)
+                fit = [[{"vec_id": i, "score": s if -(1 << 63) <= s < 1 << 63 else None} for i, s in b] for b in best]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in group], pa.int64()) for i in range(3)), pa.array(reads, pa.int64()), pa.array(fit, best_type)], names=["h1", "h2", "own", "reads", "best"])
+
+        records = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), (x.values.to_numpy() for x in b.column(3)), b.column(4).to_pylist(), strict=True))
+        held = []
+        for unit, group in groupby(records, lambda r: r[:3]):
+            group = list(group)
+            near = sorted(((c["upper"], c["exact"], c["wide"], c["row"]) for g in group for c in g[4]), key=lambda c: (-c[0], c[1], c[3]))
+            held.append((*unit, group[0][3], near))
+            if len(held) == AT_ONCE:
+                yield from out(held)
+                held = []
+        yield from out(held)
+        files.close()
+
+    scanned = dealt.mapInArrow(run_scan, f"h1 long, h2 long, own long, v array<double>, near {candidate}")
+    refine = scanned.repartition(query_tiles * shares, "h1", "h2", "own").sortWithinPartitions("h1", "h2", "own")
+    best = refine.mapInArrow(run_refine, "h1 long, h2 long, own long, reads long, best array<struct<vec_id:long,score:long>>")
+    # A unit's row is sent SALT times, so that the queries of one vector meet it in as many tasks.
+    salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).alias("m").join(salted.alias("b"), (F.col("m.h1") == F.col("b.h1")) & (F.col("m.h2") == F.col("b.h2")) & F.col("m.own").eqNullSafe(F.col("b.own")) & (F.col("m.salt") == F.col("b.salt")))
+    own = F.slice(F.filter("b.best", lambda x: x["vec_id"] != F.col("m.id")), 1, k)
+    each = met.select(F.col("m.id").alias("query_id"), F.col("b.reads").alias("reads"), F.posexplode(own).alias("at", "x"))
+    return each.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score", "reads")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .queries import table
 
-    vectors = integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", SCALE)
-    return top_k(vectors, vectors.filter(F.col("id") % 20 == 0), K)
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(vectors, vectors.filter(F.col("id") % 20 == 0)).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = f"""

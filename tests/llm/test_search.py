@@ -3,39 +3,83 @@
 import math
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from linkweave.llm import topk
 
 
+def brute(rows, asked, k, scale=64):
+    """(query, rank, id, score) in unbounded integers; repeated rows count once."""
+    whole = {(i, tuple(math.floor(scale * x) if abs(x) < 2.0**52 else int(x) * scale for x in e)) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)}
+    out = []
+    for qi, q in sorted(x for x in whole if asked(x[0])):
+        best = sorted((-sum(a * b for a, b in zip(q, e, strict=True)), i) for i, e in whole if i != qi and len(e) == len(q))[:k]
+        out += [(qi, r + 1, i, -s if -(1 << 63) <= -s < 1 << 63 else None) for r, (s, i) in enumerate(best)]
+    return sorted(out, key=repr)
+
+
 def test_all_cases(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=6) * 0.3]) for i in range(90)]
-    rows += [(100, rows[0][1]), (101, rows[0][1]), (120, rows[20][1]), (140, None), (141, []), (160, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (161, [math.nan] * 6), (180, [math.inf] * 6), (200, [1.0, 2.0]), (201, [3.0, 4.0]), (220, [1e30] * 6), (None, rows[1][1]), (40, rows[3][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "'x' as rank")
+    rows += [(100, rows[0][1]), (101, rows[0][1]), (120, rows[20][1]), (140, None), (141, []), (160, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (161, [math.nan] * 6), (180, [math.inf] * 6), (200, [1.0, 2.0]), (201, [3.0, 4.0]), (None, rows[1][1])]
+    rows += [(220, [1e30, -1e6, 1e6, 0.3, -0.7, 1e30]), (221, [1e6] * 6), (222, [-1e6, 1e6, 0.0, 2e5, 3e5, -4e5]), (223, [1e308] * 6), (240, [0.0] * 6), (260, [-1e300, 0.1, 0.2, 0.3, 0.4, 0.5])]
+    rows += [(40, rows[3][1]), (40, rows[7][1]), (60, rows[60][1]), (60, rows[60][1]), (7, rows[40][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as score", "'x' as rank", "2 as h1", "3 as own")
     v = topk.integer_vectors(df, "vec_id", "embedding", 64)
-    f = np.float32
-    ok = [(i, [math.floor(64 * float(f(x))) for x in e]) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) and abs(x) < 1e5 for x in e)]
     for k in (3, 20, 500):
-        want = []
-        for qi, q in sorted(x for x in ok if x[0] % 20 == 0 and x[0] != 40):
-            own = sorted(((-sum(a * b for a, b in zip(q, e, strict=True)), i) for i, e in ok if i != qi and len(e) == len(q)))[:k]
-            want += [(qi, r + 1, i, -s) for r, (s, i) in enumerate(own)]
-        got = [tuple(r) for r in topk.top_k(v, v.filter("id % 20 = 0 and id <> 40"), k).orderBy("query_id", "rank").collect()]
-        assert got == want
+        got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, v.filter("id % 20 = 0"), k).collect()]
+        assert sorted(got, key=repr) == brute(rows, lambda i: i % 20 == 0, k)
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="power of two"):
+        topk.integer_vectors(df, "vec_id", "embedding", 60)
+
+
+def test_a_vector_that_a_third_has(spark, monkeypatch):
+    """Copies are one class; small blocks and tiles of queries, many shares."""
+    rng = np.random.default_rng(1)
+    hot = [float(x) for x in rng.normal(size=8)]
+    rows = [(i, hot if i % 3 == 0 else [float(x) for x in rng.normal(size=8)]) for i in range(900)]
+    for name, value in (("BLOCK", 64), ("TILE", 200), ("QUERY_TILE", 8), ("TASKS", 5), ("AT_ONCE", 3)):
+        monkeypatch.setattr(topk, name, value)
+    v = topk.integer_vectors(spark.createDataFrame(rows, "id long, e array<double>"), "id", "e")
+    got = topk.top_k(v, v.filter("id % 20 = 0"), 5).collect()
+    assert sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in got), key=repr) == brute(rows, lambda i: i % 20 == 0, 5)
+
+
+def test_few_exact_vectors_are_read(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    v = topk.integer_vectors(df, "vec_id", "embedding")
+    reads = topk.top_k(v, v.filter("id % 20 = 0")).filter("rank = 1").agg({"reads": "avg"}).first()[0]
+    assert reads < 0.2 * v.count()
 
 
 @settings(deadline=None)
-@given(st.integers(1, 60), st.integers(1, 8), st.integers(1, 25), st.integers(0, 1 << 30), st.sampled_from([3, 200, 1 << 20]))
-def test_blocks_hold_the_best(n, dim, k, seed, scale):
+@given(st.integers(1, 60), st.integers(1, 8), st.integers(0, 1 << 30), st.sampled_from([3, 200, 1 << 20]))
+def test_cells_bound_the_products(n, dim, seed, scale):
     rng = np.random.default_rng(seed)
     data, q = rng.integers(-scale, scale, (n, dim)), rng.integers(-scale, scale, (4, dim))
-    ids, q_ids = np.arange(n), np.array([0, 1, 500, 501])
-    lower, upper = topk.Approximation(data).bounds(q)
+    lower, upper = topk.Grid.of(data).bounds(q.astype(float))
     assert (lower <= q @ data.T).all() and (upper >= q @ data.T).all()
-    for row, got, scores in topk.best_of_block(q, q_ids, data, ids, k, np.full(4, -np.inf)):
-        want = sorted((-int(data[i] @ q[row]), i) for i in range(n) if i != q_ids[row])[:k]
-        a, b = topk._top(got, scores, k)
-        assert [(-int(s), int(i)) for i, s in zip(a, b, strict=True)] == want
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.integers(1, 120), st.integers(1, 5), st.integers(1, 9), st.integers(0, 1 << 30), st.sampled_from([0.05, 3.0, 1e7, 1e40]))
+def test_scan_keeps_the_best(tmp_path_factory, n, dim, k, seed, size):
+    rng = np.random.default_rng(seed)
+    data = np.floor(rng.normal(size=(n, dim)) * size * 64) / 64 if size < 1e30 else rng.normal(size=(n, dim)) * size
+    wide = bool(np.abs(data).max() >= topk.LARGEST / 64)
+    folder = tmp_path_factory.mktemp("tile")
+    ids = [[2 * i, 2 * i + 1] for i in range(n)]
+    with open(folder / "c", "wb") as c, open(folder / "e", "wb") as e:
+        topk.write_blocks(((ids[a : a + 50], data[a : a + 50]) for a in range(0, n, 50)), wide, 64, 3, c, e)
+    tile = {"dim": dim, "wide": wide, "cells": (folder / "c").as_uri(), "exact": (folder / "e").as_uri()}
+    queries, own = np.concatenate([data[:3], np.zeros((1, dim))]), [None, *[0] * (len(data[:3]) - 1), None]
+    near = [sorted(((u, tile["exact"], wide, r) for _, rows, upper in held for r, u in zip(rows.tolist(), upper.tolist(), strict=True)), key=lambda c: (-c[0], c[3])) for held in topk.scan([tile], queries, own, k)]
+    files = topk.ExactFiles(3)
+    for q, o, (_, best) in zip(queries, own, topk.refined(queries, own, near, files, 64, k), strict=True):
+        whole = [topk.whole_numbers(x, 64) for x in data]
+        want = sorted((-sum(a * b for a, b in zip(topk.whole_numbers(q, 64), w, strict=True)), i) for w, x in zip(whole, ids, strict=True) for i in x if i != o)[:k]
+        assert [(-s, i) for i, s in best] == want
+    files.close()
