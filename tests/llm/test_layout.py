@@ -1,14 +1,13 @@
 """WARC archives, shards, packing, and the pipeline."""
 
 import hashlib
-import random
 import zlib
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from linkweave.llm import packing, sharding, storage, warc
+from linkweave.llm import packing, storage, warc
 
 
 def pages(spark):
@@ -50,34 +49,6 @@ def test_reader_skips_what_is_no_record(tmp_path):
     assert found == [len(junk), 2 * len(junk) + len(one)]
 
 
-def check_shards(docs, out, shards):
-    rows = out.collect()
-    texts = sorted(((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect()), key=repr)
-    assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in rows), key=repr) == texts
-    sums = [0] * shards
-    for s in range(shards):
-        own = [r for r in rows if r.shard == s]
-        assert sorted(r.slot for r in own) == list(range(len(own)))
-        sums[s] = sum(r["size"] for r in own)
-    assert {r.law for r in rows} <= {"bytes"} and all(r.grown_shard is None for r in rows)
-    return sums
-
-
-def test_shards_of_all_cases(spark, documents, nothing):
-    check_shards(documents, sharding.sharded(documents), 8)
-    assert sharding.sharded(nothing).count() == 0
-
-
-def test_shards_are_even_with_a_hot_text(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "RANGES", 16)
-    random.seed(0)
-    rows = [(i, "hot " * 50 if i % 3 == 0 else "x" * random.randrange(300)) for i in range(3000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sums = check_shards(docs, sharding.sharded(docs), 8)
-    assert max(sums) - min(sums) <= 2 * 301
-    assert sharding.sharded(docs).exceptAll(sharding.sharded(docs.repartition(7))).count() == 0
-
-
 def brute_pack(pieces, capacity):
     bins, clock = [], 0
     for length, source, cluster in pieces:
