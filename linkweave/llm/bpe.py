@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkMemo
+from .chunks import ChunkMemo, require_byte_level
 
 #: How a byte-level vocabulary cuts text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -91,6 +91,7 @@ class Encoder:
         import ahocorasick
         import regex
 
+        require_byte_level(definition)
         self.vocabulary = v = Vocabulary(definition)
         usable = {i for pair in v.merged for i in pair} | set(v.merged.values()) | {i for i, b in enumerate(v.bytes) if len(b) == 1}
         usable -= set(v.added.values())
@@ -108,7 +109,7 @@ class Encoder:
         self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(v.added, key=len, reverse=True))) + ")") if v.added else None
         self.kind = np.dtype("<u2" if len(v.bytes) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
-        self.memo = ChunkMemo(self._chunks)
+        self.memo = ChunkMemo(self._chunks, list(v.added))
 
     def _may_follow(self, left: int, right: int) -> bool:
         """Whether merging leaves a border between the two, undoing their merges from the last to the first."""

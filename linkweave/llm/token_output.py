@@ -1,24 +1,26 @@
 """Token ids as binary files: one id array a shard, document boundaries in Elias-Fano.
 
-File (all little-endian): ``LWTOKEN1``, the ids of all documents one after the other
+File (all little-endian): ``LWTOKEN2``, the ids of all documents one after the other
 (16 bits each while the vocabulary allows it, else 32), the document ends and the
-document ids as Elias-Fano sequences, a JSON footer that says where they are, its
-length in 4 bytes, ``LWTOKEN1``.  A document's ids are found with two selects, so no
-table of 64-bit offsets is kept or read.
+document ids as Elias-Fano sequences with their directories, a JSON footer that says
+where they are, its length in 4 bytes, ``LWTOKEN2``.  Documents are found by select, and
+read in blocks whose borders select gives: no table of 64-bit offsets is kept or made.
 
-Documents are range-partitioned on their id, each task streams its range to one
-shard (written whole or not at all, under a name of its own), and the start of a
-document in the whole corpus is the shard's base plus its start in the shard.
+Documents are range-partitioned on their id, equal ids on a hash of the text.  Each task
+streams its range to shards of at most ``SHARD_DOCS`` documents (written whole or not at
+all, under names of their own), and the start of a document in the whole corpus is the
+shard's base plus its start in the shard.
 
 Defined results: a null or empty text has the end id alone; null ids come first;
-rows with equal ids all stay, ordered by text; an empty table gives no shard and no
-rows; other columns are not read.
+rows with equal ids all stay, ordered by a hash of the text and the text; an empty table
+gives no shard and no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import storage
-from .chunks import ChunkMemo
+from .chunks import ChunkMemo, added_tokens, require_byte_level
 from .elias_fano import EliasFano
 
-MAGIC = b"LWTOKEN1"
+MAGIC = b"LWTOKEN2"
+#: Documents and ids of a shard, about.
+SHARD_DOCS, SHARD_IDS = 1 << 18, 1 << 28
 _ENCODERS: dict[tuple[int, int], ChunkMemo] = {}
 
 
@@ -47,7 +51,7 @@ def _encoder(definition: str, width: int) -> ChunkMemo:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         kind = np.dtype(f"<u{width}")
-        _ENCODERS[key] = ChunkMemo(lambda texts: [np.array(x.ids, kind).tobytes() for x in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)])
+        _ENCODERS[key] = ChunkMemo(lambda texts: [np.array(x.ids, kind).tobytes() for x in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)], added_tokens(definition))
     return _ENCODERS[key]
 
 
@@ -55,7 +59,7 @@ class ShardWriter:
     """Streams documents, in ascending order of id, to one shard."""
 
     def __init__(self, out, width: int):
-        self.out, self.width, self.ends, self.doc_ids, self.nulls, self.n = out, width, [], [], 0, 0
+        self.out, self.width, self.ends, self.doc_ids, self.nulls, self.n = out, width, array("q"), array("q"), 0, 0
         out.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -67,10 +71,14 @@ class ShardWriter:
         else:
             self.doc_ids.append(doc_id)
 
+    def full(self) -> bool:
+        return len(self.ends) >= SHARD_DOCS or self.n >= SHARD_IDS
+
     def close(self) -> None:
         least = self.doc_ids[0] if self.doc_ids else 0
-        ends = EliasFano.of(np.array(self.ends, np.uint64)).to_bytes()
-        names = EliasFano.of(np.array([x - least for x in self.doc_ids], np.uint64)).to_bytes()
+        ends = EliasFano.of(np.frombuffer(self.ends, np.int64)).to_bytes()
+        # Differences of 64-bit ids need all 64 bits, unsigned.
+        names = EliasFano.of(np.frombuffer(self.doc_ids, np.uint64) - np.uint64(least % (1 << 64))).to_bytes()
         self.out.write(ends + names)
         at = len(MAGIC) + self.n * self.width
         foot = json.dumps({"width": self.width, "ids": self.n, "docs": len(self.ends), "ends": [at, len(ends)], "doc_ids": [at + len(ends), len(names)], "least": least, "nulls": self.nulls}).encode()
@@ -103,8 +111,10 @@ class Shard:
     def doc_id(self, i: int) -> int | None:
         return None if i < self.foot["nulls"] else self.foot["least"] + self._names.select(i - self.foot["nulls"])
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.foot["nulls"] + (self._names.values() + self.foot["least"]).tolist()
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        """Ids of the documents from i to j."""
+        nulls = self.foot["nulls"]
+        return [None] * (min(j, nulls) - min(i, nulls)) + (self._names.values(max(i - nulls, 0), max(j - nulls, 0)) + self.foot["least"]).tolist()
 
     def span(self, i: int) -> tuple[int, int]:
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
@@ -117,28 +127,29 @@ class Shard:
         return self.ids(*self.span(i))
 
     def blocks(self, at_once: int = 4_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first document, first id, ends, ids) of runs of documents of about ``at_once`` ids."""
-        ends = self.ends.values()
+        """(first document, first id, ends, ids) of runs of documents of about ``at_once`` ids; select finds their borders."""
         i, start = 0, 0
-        while i < len(ends):
-            j = max(i + 1, int(np.searchsorted(ends, start + at_once, side="right")))
-            yield i, start, ends[i:j], self.ids(start, int(ends[j - 1]))
-            i, start = j, int(ends[j - 1])
+        while i < len(self):
+            j = max(i + 1, self.ends.above(start + at_once))
+            ends = self.ends.values(i, j)
+            yield i, start, ends, self.ids(start, int(ends[-1]))
+            i, start = j, int(ends[-1])
 
     def close(self) -> None:
         self.file.close()
 
 
-MANIFEST = "part int, path string, docs long, ids long"
+MANIFEST = "part int, piece int, path string, docs long, ids long"
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0) -> DataFrame:
     """Encode ``docs(doc_id, text)`` to shards in ``folder``; return their manifest, written there too.
 
-    The manifest has one row a shard: part (ascending with doc_id), path, docs, ids.
+    The manifest has one row a shard: part and piece (ascending with doc_id), path, docs, ids.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
+    require_byte_level(definition)
     meant = json.loads(definition)
     largest = max([end_id, *meant["model"]["vocab"].values(), *(x["id"] for x in meant.get("added_tokens", []))])
     width = 2 if largest < 1 << 16 else 4
@@ -148,52 +159,51 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        batches = (b for b in batches if b.num_rows)
-        first = next(batches, None)
-        if first is None:
-            return
-        encode = _encoder(sent.value, width)
-        uri = f"{folder}/ids-{part:06d}-{TaskContext.get().taskAttemptId()}.tok"
-        counts = {}
-
-        def produce(out) -> None:
-            shard = ShardWriter(out, width)
-            batch = first
-            while batch is not None:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    shard.add(doc_id, encode.text(text.as_py() or "") + end)
-                batch = next(batches, None)
-            shard.close()
-            counts.update(docs=len(shard.ends), ids=shard.n)
-
-        storage.write_whole(uri, produce)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [uri], "docs": pa.array([counts["docs"]], pa.int64()), "ids": pa.array([counts["ids"]], pa.int64())})
-
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        documents = ((i, x.as_py() or "") for b in batches for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        document = next(documents, None)
+        encode = _encoder(sent.value, width) if document is not None else None
+        piece = 0
+        while document is not None:
+            counts = {}
+
+            def produce(out) -> None:
+                nonlocal document
+                shard = ShardWriter(out, width)
+                while document is not None and not shard.full():
+                    shard.add(document[0], encode.text(document[1]) + end)
+                    document = next(documents, None)
+                shard.close()
+                counts.update(docs=len(shard.ends), ids=shard.n)
+
+            uri = f"{folder}/ids-{part:06d}-{piece:06d}-{attempt}.tok"
+            storage.write_whole(uri, produce)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "piece": pa.array([piece], pa.int32()), "path": [uri], "docs": pa.array([counts["docs"]], pa.int64()), "ids": pa.array([counts["ids"]], pa.int64())})
+            piece += 1
+
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     path = f"{folder}/manifest"
-    ordered.mapInArrow(write, MANIFEST).write.parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(write, MANIFEST).write.parquet(path)
     return docs.sparkSession.read.schema(MANIFEST).parquet(path)
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, part, index) of each document, from the shards."""
-    bases = manifest.withColumn("base", F.sum("ids").over(Window.orderBy("part")) - F.col("ids"))  # a row a shard
+    """(doc_id, start, n_tokens, ids_crc32, part, piece, index) of each document, from the shards."""
+    bases = manifest.withColumn("base", F.sum("ids").over(Window.orderBy("part", "piece")) - F.col("ids"))  # a row a shard
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row["path"])
-                names = shard.doc_ids()
                 for i, start, ends, ids in shard.blocks():
                     cuts = np.concatenate([[start], ends])
                     at = (cuts - start).tolist()
                     sums = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(at[:-1], at[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[i : i + len(ends)], pa.int64()), pa.array(cuts[:-1] + row["base"], pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(sums, pa.int64()), pa.array([row["part"]] * len(ends), pa.int32()), pa.array(range(i, i + len(ends)), pa.int32())], names=["doc_id", "start", "n_tokens", "ids_crc32", "part", "index"])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(i, i + len(ends)), pa.int64()), pa.array(cuts[:-1] + row["base"], pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(sums, pa.int64()), pa.array([row["part"]] * len(ends), pa.int32()), pa.array([row["piece"]] * len(ends), pa.int32()), pa.array(range(i, i + len(ends)), pa.int32())], names=["doc_id", "start", "n_tokens", "ids_crc32", "part", "piece", "index"])
                 shard.close()
 
-    spread = bases.repartition(max(1, manifest.count()), "part")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, index int")
+    spread = bases.repartition(max(1, manifest.count()), "part", "piece")
+    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, piece int, index int")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0) -> DataFrame:

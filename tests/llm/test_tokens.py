@@ -1,6 +1,7 @@
 """Token shards, token counts, byte-pair encoding."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -8,9 +9,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linkweave.llm import bpe, storage, token_counts, token_output
+from linkweave.llm import bpe, chunks, storage, token_counts, token_output
 from linkweave.llm.elias_fano import EliasFano
 
 
@@ -30,6 +32,21 @@ def test_elias_fano_gives_back_its_values(values):
     values.sort()
     ef = EliasFano.from_bytes(EliasFano.of(np.array(values, np.uint64)).to_bytes())
     assert ef.values().tolist() == values and [ef.select(i) for i in range(len(ef))] == values
+    for i in range(0, len(values) + 1, 7):
+        for j in range(i, len(values) + 1, 5):
+            assert ef.values(i, j).tolist() == values[i:j]
+    for v in (0, *values[::9], 1 << 41):
+        assert ef.above(v) == sum(x <= v for x in values)
+
+
+def test_elias_fano_of_many_and_uneven_values():
+    rng = np.random.default_rng(0)
+    for values in (np.sort(rng.integers(0, 1 << 40, 200_000)), np.sort(np.concatenate([rng.integers(0, 9, 3000), [1 << 50]])), np.zeros(1000, np.int64), np.arange(70_001)):
+        data = EliasFano.of(values).to_bytes()
+        ef = EliasFano.from_bytes(data)
+        assert (ef.values() == values).all()
+        for i in rng.integers(0, len(values), 200).tolist():
+            assert ef.select(i) == values[i] and ef.above(int(values[i])) == np.searchsorted(values, values[i], side="right")
 
 
 def test_elias_fano_is_small_and_ordered():
@@ -74,8 +91,20 @@ def test_gather():
     assert bpe.gather(blob, offsets, np.array([2, 1, 0, 2]))[0] == b"bcdabcd"
 
 
-def test_token_shards(spark, documents, nothing, library, bpe_file):
-    docs = documents.orderBy("doc_id", "text").collect()
+def test_other_rules_are_refused(bpe_file):
+    with open(bpe_file) as f:
+        meant = json.loads(f.read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": meant["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": meant["model"] | {"byte_fallback": True}}, {"added_tokens": [meant["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError, match="the tokenizer has"):
+            chunks.require_byte_level(json.dumps(meant | change))
+    chunks.require_byte_level(json.dumps(meant))
+
+
+@pytest.mark.parametrize("shard_docs", [1 << 18, 2])
+def test_token_shards(spark, documents, nothing, library, bpe_file, shard_docs, monkeypatch):
+    monkeypatch.setattr(token_output, "SHARD_DOCS", shard_docs)
+    monkeypatch.setattr(token_output, "ShardWriter", type("Writer", (token_output.ShardWriter,), {"full": lambda self: len(self.ends) >= shard_docs}))
+    docs = documents.orderBy("doc_id", F.xxhash64("text"), "text").collect()
     start, want = 0, []
     for r in docs:
         ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
@@ -85,8 +114,8 @@ def test_token_shards(spark, documents, nothing, library, bpe_file):
     manifest = token_output.write_shards(documents, bpe_file, folder)
     got = token_output.read_shards(manifest).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == want
-    one = token_output.Shard(manifest.orderBy("part").first().path)
-    assert one.doc_id(0) is None and one.document(0).tolist()[-1] == 0 and one.doc_ids()[:2] == [None, 0]
+    one = token_output.Shard(manifest.orderBy("part", "piece").first().path)
+    assert one.doc_id(0) is None and one.document(0).tolist()[-1] == 0 and one.doc_ids(0, 2) == [None, 0]
     one.close()
     assert token_output.token_output(nothing, bpe_file).count() == 0
 
