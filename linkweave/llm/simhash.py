@@ -12,7 +12,8 @@ Two steps keep that affordable without dropping anything.  Equal fingerprints ar
 from the start.  And a fingerprint without a possible partner emits nothing: cut the 64
 bits in three blocks; at ``d`` differing bits, two of the blocks hold ``2 d / 3`` or
 fewer of them, so partners meet among the variants, within half of that, of one of the
-three pairs of blocks.  Those that meet nobody there have no partner.
+three pairs of blocks.  Those that meet nobody there have no partner, nor has a fingerprint
+that meets just one other there, further away than ``d`` bits.
 
 Defined results: null and empty texts and texts without a word have fingerprint zero,
 which is linked like any other; rows with equal ids all stay; a null id is never a
@@ -33,8 +34,6 @@ from . import storage
 from .components import components
 
 SEED = 42
-#: Hashes held at once by a task.
-HELD = 1_000_000
 #: Bits of each byte value, from the lowest.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -110,20 +109,27 @@ def possible(fps: DataFrame, radius: int) -> DataFrame:
     # One array of (mask, change) pairs in the plan, folded to a constant.
     pairs = F.expr(f"arrays_zip({_longs([m for m, _ in tries])}, {_longs([c for _, c in tries])})")
     keyed = fps.select("fp", F.explode(pairs).alias("t")).select("fp", F.col("t.0").bitwiseAND(F.col("fp")).bitwiseXOR(F.col("t.1")).alias("key"))
-    return _met(keyed).select("fp").distinct()
+    # Most that meet by chance meet in twos: then their distance says whether they may be partners.
+    far = (F.col("size") == 2) & (_distance("least", "most") > radius)
+    return _met(keyed).filter(~far).select("fp").distinct()
+
+
+def _distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
 def _met(keyed: DataFrame) -> DataFrame:
-    """Rows of ``keyed(fp, key)`` whose key other fingerprints have too, with the smallest there: one sort, read once."""
+    """Rows of distinct ``keyed(fp, key)`` whose key other fingerprints have too, with the smallest, the largest and the number there: one sort, read once."""
     at = Window.partitionBy("key")
-    return keyed.withColumns({"least": F.min("fp").over(at), "most": F.max("fp").over(at)}).filter("least <> most")
+    return keyed.withColumns({"least": F.min("fp").over(at), "most": F.max("fp").over(at), "size": F.count("*").over(at)}).filter("least <> most")
 
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b) between distinct ``fps(fp)`` with the components that all links within ``radius`` bits give."""
     variants = _longs(ball(list(range(64)), -(-radius // 2)))
     emitted = fps.select("fp", F.explode(F.expr(variants)).alias("v")).select("fp", F.col("fp").bitwiseXOR(F.col("v")).alias("key"))
-    return _met(emitted).filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+    tied = _met(emitted).filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+    return tied.filter(_distance("a", "b") <= radius)  # true of all that meet; verified all the same
 
 
 def classes(found: DataFrame, radius: int) -> DataFrame:
@@ -135,18 +141,18 @@ def classes(found: DataFrame, radius: int) -> DataFrame:
     return components(links(able, radius)).select(F.col("node").alias("fp"), F.col("component").alias("class"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id, component_size) of every document.
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint, component_id, component_size) of every document, and its columns ``keep``.
 
     component_id: the smallest doc_id reachable over links between fingerprints.
     """
-    marked = storage.written(with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, ["doc_id"]).withColumnRenamed("__lw_fp", "fp"), "marked")
+    marked = storage.written(with_fingerprints(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *keep), words, ["doc_id", *keep]).withColumnRenamed("__lw_fp", "fp"), "marked")
     found = storage.written(classes(marked, radius), "classes")
     # One row a fingerprint from here on; copies only rejoin at the end.
     by_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(found, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
     named = by_fp.groupBy("class").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
     names = by_fp.select("fp", "class").join(named, "class").select("fp", "component_id", "component_size")
-    return marked.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
+    return marked.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size", *keep)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
