@@ -10,8 +10,10 @@ clusters.  A tree over the rooms keeps, for each span, the bits that all bins in
 share: a span whose shared bits meet the piece's cannot hold it and is passed over at
 once, so a hot source does not make the search walk through its own bins.
 
-Documents are dealt by a hash of their id to parts of about ``PART`` rows, each packed by one
-task alone; no source or cluster is ever gathered in one task.  A part's bins are its own.
+Documents are dealt by a hash of their id to parts of about ``part`` rows, each packed by one
+task alone; no source or cluster is ever gathered in one task.  A part's bins are its own,
+so the bin found is the tightest of its part.  What that costs is one bin that stays open
+a part and size of piece, and is measured in the README.
 
 Defined results: a null or empty text has length 0 and takes a place in a bin; a null
 source or cluster conflicts with nothing; rows with equal ids are packed as rows of
@@ -26,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import simhash, storage
+
 #: Bytes of a bin in the query and the pipeline.
 CAPACITY = 16_384
 #: Rows of a part, about.
@@ -135,13 +139,14 @@ def _codes(values: pd.Series, only_repeated: bool) -> pd.Series:
     return codes
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, length: str = "length", source: str = "source", cluster: str = "cluster") -> DataFrame:
-    """(doc_id, piece, start, length, part, bin, place) of ``docs(doc_id, length, source, cluster)``.
+def packed(docs: DataFrame, capacity: int = CAPACITY, length: str = "length", source: str = "source", cluster: str = "cluster", part: int = PART) -> DataFrame:
+    """(doc_id, piece, start, length, part, bin, place) of ``docs(doc_id, length, source, cluster)``; ``part``: rows of a part, about.
 
     ``start``: where the piece begins in its document; ``place``: where it begins in its bin.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("length"), F.col(source).cast("string").alias("source"), F.col(cluster).cast("long").alias("cluster"))
-    parts = max(1, -(-docs.count() // PART))
+    slim = storage.written(slim, "pieces")
+    parts = max(1, -(-slim.count() // part))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "source", "cluster"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
@@ -175,11 +180,18 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, length: str = "length", so
 
 def by_text(docs: DataFrame) -> DataFrame:
     """Lengths in UTF-8 bytes and an end mark, exact copies as clusters."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     return docs.select("doc_id", "source", (F.octet_length(text) + 1).alias("length"), F.xxhash64(text).alias("cluster"))
 
 
+def by_near_text(docs: DataFrame) -> DataFrame:
+    """Lengths in UTF-8 bytes and an end mark, the components of near-duplicate fingerprints as clusters."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    sized = docs.select("doc_id", docs["text"].cast("string").alias("text"), docs["source"].cast("string").alias("source"), (F.octet_length(text) + 1).cast("long").alias("length"))
+    return simhash.near_duplicates(sized, keep=("source", "length")).select("doc_id", "source", "length", F.col("component_id").alias("cluster"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .queries import table
 
-    return packed(by_text(table(spark, sf_dir, "documents")))
+    return packed(by_near_text(table(spark, sf_dir, "documents")))
