@@ -8,7 +8,8 @@ Reading: an archive is cut in byte ranges.  A task scans its range for the gzip
 and takes the first candidate whose member decodes to a WARC header with a block of the
 stated length; from there it walks from member to member.  It owns the records that
 start in its range, and reads past its end to finish the last one.  What does not decode
-is skipped up to the next candidate.
+is skipped up to the next candidate; but the manifest says how many records each archive
+has, and an archive that gives another number is an error, so nothing is lost unseen.
 
 Defined results: a null html is an empty payload; pages with equal payloads and equal
 ids are all responses; a null id or url stays null or empty; rows with equal ids all
@@ -36,6 +37,8 @@ SPLIT = 16 << 20
 #: Bytes given to the inflater at once.
 STEP = 1 << 14
 LEVEL = 4
+#: Parts that pages of one payload are dealt to, where the copies are too many to broadcast.
+SALT = 16
 DATE = "1970-01-01T00:00:00Z"
 #: The revisit profile of the WARC 1.1 standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -142,11 +145,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write ``pages(page_id, url, html)`` to archives; return the manifest, one row a file."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumns({"digest": F.sha1("payload"), "length": F.octet_length("payload")})
-    # Only digests are shuffled, summed up before; and only those of copies are joined.
+    # Only digests are shuffled, summed up before; and only those of copies are joined, on as many tasks as one page needs.
     copies = slim.filter(F.col("length") >= LEAST).groupBy("digest", "length").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    known = storage.written(copies, "payload-copies")
+    known = storage.written(copies, "payload-copies").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     refers = F.when(F.col("target").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("target")), F.col("target"))
-    ready = slim.join(known, ["digest", "length"], "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    salted = slim.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+    ready = salted.join(known, ["digest", "length", "salt"], "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -174,7 +178,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def read_archives(manifest: DataFrame, split: int = SPLIT) -> DataFrame:
-    """RECORDS of all archives of ``manifest(path, bytes)``; digests of stored payloads are checked."""
+    """RECORDS of all archives of ``manifest(path, bytes, records)``, written once.
+
+    Digests of stored payloads are checked, and the number of records of each archive.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64())])
@@ -198,7 +205,12 @@ def read_archives(manifest: DataFrame, split: int = SPLIT) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     ranges = manifest.filter("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
-    return ranges.repartition(max(1, ranges.count()), "path", "start").mapInArrow(read, RECORDS)
+    found = storage.written(ranges.repartition(max(1, ranges.count()), "path", "start").mapInArrow(read, RECORDS), "records")
+    counts = found.groupBy("path").agg(F.count("*").alias("found"))
+    wrong = manifest.join(counts, "path", "left").withColumn("found", F.coalesce("found", F.lit(0))).filter("records <> found").select("path", "records", "found").limit(5).collect()
+    if wrong:
+        raise ValueError(f"archives do not have the records they should: {[tuple(r) for r in wrong]}")
+    return found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,19 @@ def test_no_pages(spark):
     assert manifest.count() == 0 and warc.read_archives(manifest).count() == 0
 
 
+def test_a_lost_record_is_an_error(spark, tmp_path):
+    """A damaged member, and a cut file."""
+    for spoil in (lambda b: b[:700] + bytes(40) + b[740:], lambda b: b[: len(b) // 2]):
+        manifest = warc.write_archives(pages(spark).repartition(1), storage.new_path(spark, "test-warc"))
+        path = manifest.first().path.removeprefix("file://")
+        with open(path, "rb") as f:
+            data = f.read()
+        with open(path, "wb") as f:
+            f.write(spoil(data))
+        with pytest.raises(ValueError, match="records they should"):
+            warc.read_archives(manifest)
+
+
 def test_reader_skips_what_is_no_record(tmp_path):
     one = warc.record(1, "u", b"x" * 3000, hashlib.sha1(b"x" * 3000).hexdigest(), None)
     junk = b"\x1f\x8b\x08junk" + zlib.compress(b"no")
@@ -92,6 +105,23 @@ def test_packing_of_all_cases(spark, documents, nothing):
     assert len(got) == 4 and len({got[None], got[3], got[2]}) == 3
 
 
+@pytest.mark.parametrize("part", [3, 20_000])
+def test_near_copies_and_sources_never_share_a_bin(spark, part):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words + (["x"] if i % 2 else [])), f"s{i % 40}", 0) for i in range(40)] + [(100 + i, f"other text {i}", f"s{i % 5}", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    near = packing.by_near_text(docs)
+    cluster = {r.doc_id: r.cluster for r in near.collect()}
+    assert len({cluster[i] for i in range(40)}) == 1
+    bins = {}
+    for r in packing.packed(near, 2000, part=part).collect():
+        bins.setdefault((r.part, r.bin), []).append(r.doc_id)
+    source = {r[0]: r[2] for r in rows}
+    for own in bins.values():
+        assert len({source[i] for i in own}) == len(own) and len({cluster[i] for i in own}) == len(own)
+    assert sum(map(len, bins.values())) == len(rows)
+
+
 def test_pipeline(spark, documents, nothing):
     import corpus_pipeline
 
