@@ -1,35 +1,68 @@
 """Files and intermediate tables in the folder that all executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-unset (tests, a single machine) is a folder of our own used.  Lineage is cut by writing
-a table there, so a lost executor costs no recomputation of what came before, and no
-block lives on one machine only.
+The folder is the one the cluster names in ``spark.checkpoint.dir``; only on a single
+machine, where that may be unset (tests), is a folder of our own used.  Lineage is cut by
+writing a table there, so a lost executor costs no recomputation of what came before, and
+no block lives on one machine only.  An application has a folder of its own in it, which
+is removed when it ends; what a step needs only itself is removed when the step is done.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the cluster names no shared folder.
+#: Used only on a single machine that names no shared folder.
 OWN_FOLDER = "file:///tmp/checkpoints"
+_APPLICATIONS: set[str] = set()
+_SCRATCH: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """URI of the shared folder, with a scheme and no slash at its end."""
+    """URI of this application's folder in the shared one, with a scheme and no slash at its end."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = (named or OWN_FOLDER).rstrip("/")
-    return root if "://" in root or root.startswith("file:") else f"file://{root}"
+    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    own = f"{root}/tables-{spark.sparkContext.applicationId}"
+    if own not in _APPLICATIONS:
+        path, system = _file_system(spark, own)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _APPLICATIONS.add(own)
+    return own
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def _file_system(spark: SparkSession, uri: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back."""
-    path = new_path(df.sparkSession, name)
+def new_path(spark: SparkSession, name: str, last: bool = False) -> str:
+    """A path in the shared folder that nothing else uses; within ``scratch`` one that goes with it, unless ``last``."""
+    folders = _SCRATCH[:-1] if last else _SCRATCH
+    return f"{folders[-1] if folders else shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, last: bool = False) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back; ``last``: it outlives the innermost ``scratch``."""
+    path = new_path(df.sparkSession, name, last)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written in the meantime are removed at the end; what is to stay is written as ``last``."""
+    folder = new_path(spark, "scratch")
+    _SCRATCH.append(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(folder)
+        path, system = _file_system(spark, folder)
+        system.delete(path, True)
