@@ -28,15 +28,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of ``edges(a, b)``; component: the smallest node reachable.
 
     A hub costs no quadratic work: a star only re-ties each edge once.  Each round is
-    written to the shared folder, so lineage stays short.  Nodes without an edge to
-    another node are not returned.
+    written to the shared folder, so lineage stays short, and removed at the end.  Nodes
+    without an edge to another node are not returned.
     """
-    edges = storage.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    for _ in range(MOST_ROUNDS):
-        edges = storage.written(_star(_star(edges, large=True), large=False), "stars")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        seen = now
+    with storage.scratch(edges.sparkSession):
+        edges = storage.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        seen = None
+        for _ in range(MOST_ROUNDS):
+            edges = storage.written(_star(_star(edges, large=True), large=False), "stars")
+            now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+            if now == seen:
+                named = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+                return storage.written(named, "components", last=True)
+            seen = now
     raise RuntimeError("components did not settle")

@@ -138,7 +138,8 @@ def thresholds(sketches: DataFrame) -> DataFrame:
 def judged(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(row, counts, failed, kept) of ``counted`` rows, which are read twice, for the sketch and for the verdict."""
     # Written first, so that its size is known before texts would be shuffled to it: Spark broadcasts it only if it is small.
-    t = storage.written(thresholds(storage.written(sketch(rows, least_words), "sketch")), "thresholds")
+    with storage.scratch(rows.sparkSession):
+        t = storage.written(thresholds(storage.written(sketch(rows, least_words), "sketch")), "thresholds", last=True)
     within = F.lit(True)
     for name, value in ratios().items():
         high = value <= F.col(f"{name}_most")

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import storage
 from .components import components
+from .places import Placed
 
 SEED = 42
 #: Bits of each byte value, from the lowest.
@@ -136,9 +137,10 @@ def classes(found: DataFrame, radius: int) -> DataFrame:
     """(fp, class long) of the distinct fingerprints of ``found(fp)`` that have a partner within ``radius`` bits."""
     if radius % 2:
         raise ValueError("ball hashing needs an even radius: all that meet at a variant are linked")
-    distinct = storage.written(found.select("fp").distinct(), "fingerprints")
-    able = storage.written(possible(distinct, radius), "possible")
-    return components(links(able, radius)).select(F.col("node").alias("fp"), F.col("component").alias("class"))
+    with storage.scratch(found.sparkSession):
+        distinct = storage.written(found.select("fp").distinct(), "fingerprints")
+        able = storage.written(possible(distinct, radius), "possible")
+        return storage.written(components(links(able, radius)).select(F.col("node").alias("fp"), F.col("component").alias("class")), "classes", last=True)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -147,7 +149,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, keep: tupl
     component_id: the smallest doc_id reachable over links between fingerprints.
     """
     marked = storage.written(with_fingerprints(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *keep), words, ["doc_id", *keep]).withColumnRenamed("__lw_fp", "fp"), "marked")
-    found = storage.written(classes(marked, radius), "classes")
+    found = classes(marked, radius)
     # One row a fingerprint from here on; copies only rejoin at the end.
     by_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(found, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
     named = by_fp.groupBy("class").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
@@ -155,39 +157,37 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, keep: tupl
     return marked.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size", *keep)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` and the column that tells its rows apart: doc_id, or where ids are null or repeated a number, in a copy of the texts."""
-    n = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-    if n["rows"] == n["ids"]:
-        return docs, "doc_id"
-    return storage.written(docs.withColumn("__lw_row", F.monotonically_increasing_id()), "numbered"), "__lw_row"
+def first_row() -> Column:
+    """What the first row of a group is the least of: ids in order, null ones last, then places."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "file", "row")
 
 
-def first_row(key: str) -> Column:
-    """What the first row of a group is the least of; its ``key`` names the row."""
-    return F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col(key).alias("key"))
+def others(marked: DataFrame, by_fp: DataFrame, found: DataFrame) -> DataFrame:
+    """(file, row) of all rows of ``marked(file, row, fp)`` but the first of each class of ``found(fp, class)``.
 
-
-def firsts(source: DataFrame, key: str, marked: DataFrame, by_fp: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
-    """``source``, of each class of ``found(fp, class)`` only the first of the rows that ``by_fp(fp, first)`` has."""
+    ``by_fp(fp, first)`` has the first row of each fingerprint.
+    """
     first = by_fp.join(found, "fp", "left").groupBy(F.coalesce("class", "fp").alias("class")).agg(F.min("first").alias("first"))
-    stay = first.select(F.col("first.key").alias(key))
-    gone = storage.written(marked.select(key).join(stay, key, "left_anti"), "gone")
-    return storage.columns(source.join(gone, key, "left_anti"), names)
+    stay = first.select("first.file", "first.row")
+    return storage.written(marked.select("file", "row").join(stay, ["file", "row"], "left_anti"), "others", last=True)
 
 
 def without_near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
-    """``docs``, of each group of near-duplicates only the row with the smallest doc_id.
+    """``docs``, of each group of near-duplicate fingerprints only the row with the smallest doc_id.
 
-    Only ids and fingerprints are written and shuffled; the ids that go are joined to
-    the texts last.  Where ids are null or repeated, rows get a number of their own,
-    which takes one more copy of the texts.
+    Only places and fingerprints are written and shuffled.
     """
-    source, key = numbered(docs)
-    marked = storage.written(with_fingerprints(source, words, list(dict.fromkeys(["doc_id", key]))), "marked")
-    found = storage.written(classes(marked.select(F.col("__lw_fp").alias("fp")), radius), "classes")
-    by_fp = marked.groupBy(F.col("__lw_fp").alias("fp")).agg(F.min(first_row(key)).alias("first"))
-    return firsts(source, key, marked, by_fp, found, docs.columns)
+    placed = Placed(docs)
+    doc_id, text = placed.column("doc_id"), placed.column("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.array([fingerprint(x.as_py(), words) for x in batch.column(3)], np.uint64)
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.view(np.int64), pa.int64())], names=["file", "row", "doc_id", "fp"])
+
+    with storage.scratch(docs.sparkSession):
+        marked = storage.written(placed.mapped(["file", "row", doc_id, text], run, f"file long, row long, doc_id {placed.types[doc_id]}, fp long"), "marked")
+        gone = others(marked, marked.groupBy("fp").agg(F.min(first_row()).alias("first")), classes(marked, radius))
+    return placed.without(gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

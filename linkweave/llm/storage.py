@@ -10,9 +10,9 @@ import uuid
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
-from linkweave.sources.paths import new_path, shared_folder, written
+from linkweave.sources.paths import new_path, scratch, shared_folder, written
 
-__all__ = ["columns", "filesystem", "mapped", "new_path", "shared_folder", "write_whole", "written"]
+__all__ = ["columns", "filesystem", "mapped", "new_path", "scratch", "shared_folder", "write_whole", "written"]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
