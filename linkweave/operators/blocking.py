@@ -8,7 +8,7 @@ the rarest token's frequency and the n-gram score.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from linkweave.functions.keys import ngrams
 from linkweave.sources.paths import written
 
+from . import retrieval
+
 CHANNELS = {1: "ch1_core_name", 2: "ch2_top2_tokens", 3: "ch3_street_num_token", 4: "ch4_address_location", 5: "ch5_char3_k50", 6: "ch6_distinctive_token", 7: "ch7_relaxed_street_num"}
 
 
@@ -103,24 +105,26 @@ def ngram_overlaps(queries: DataFrame, targets: DataFrame, max_df: int | None, m
     """(s1_id, tid, score, overlap, q_grams, t_grams) of ``(id, text)`` tables that share n-grams.
 
     n-grams with more than ``max_df`` records, or beyond the cap by ratio if that is
-    None, are left out before the join, which bounds every posting list.  ``top``: only
-    the best so many of each record, with their ``rank``.
+    None, are left out, which bounds every posting list.  ``top``: only the best so many
+    of each record, with their ``rank``.
     """
-    q, t = numbered(queries, "s1_id", "_q"), numbered(targets, "tid", "_t")
-    index = postings(t, "_t", mode)
-    n = t.filter(F.size(ngrams(F.col("text"), mode)) > 0).agg(F.count("*").alias("n"))
-    w = weights(index, n)
+    q, t = (numbered(df.select("*", ngrams(F.col("text"), mode).alias("g")).filter(F.size("g") > 0), key, number) for df, key, number in ((queries, "s1_id", "_q"), (targets, "tid", "_t")))
+    n_asked, n_held = q.count(), t.count()
+    n = t.agg(F.count("*").alias("n"))
+    w = weights(t.select("_t", F.explode("g").alias("ng")), n)
     if max_df is not None:
         w = w.filter(F.col("df") <= max_df)
     else:
         w = w.join(F.broadcast(n)).filter(F.col("df") <= df_cap(F.col("n"), ratio, most)).drop("n")  # one row
-    asked = postings(q, "_q", mode).withColumnRenamed("grams", "q_grams").join(w, "ng")
-    pairs = asked.join(index.withColumnRenamed("grams", "t_grams"), "ng")
-    summed = pairs.groupBy("_q", "_t").agg(F.round(F.sum("idf"), 9).alias("score"), F.count("*").alias("overlap"), F.max("q_grams").alias("q_grams"), F.max("t_grams").alias("t_grams"))
+    each = q.select("_q", F.size("g").alias("q_grams"), F.explode("g").alias("ng")).join(w.select("ng", "idf"), "ng")
+    lists = each.groupBy("_q", "q_grams").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("ng").alias("h"), "idf"))).alias("x"))
+    asked = lists.select("_q", "q_grams", F.col("x.h").alias("grams"), F.col("x.idf").alias("weights"))
+    held = t.select("_t", F.transform("g", lambda x: F.xxhash64(x)).alias("grams"))
+    found = retrieval.overlaps(asked, held, n_asked, n_held, top)
     if top is not None:
         order = Window.partitionBy("_q").orderBy(F.desc("score"), "_t")
-        summed = summed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    named = summed.join(q.select("_q", "s1_id"), "_q").join(t.select("_t", "tid"), "_t")
+        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    named = found.join(q.select("_q", "s1_id"), "_q").join(t.select("_t", "tid"), "_t")
     return named.drop("_q", "_t")
 
 
@@ -156,6 +160,25 @@ def candidates(queries: DataFrame, targets: DataFrame, config: BlockerConfig = B
     return found.withColumn("hits", F.bit_count("channel_mask"))
 
 
+@dataclass(frozen=True)
+class BlockingChannel:
+    """One exact channel as an object: an index of targets, pairs from it, and its statistics."""
+
+    number: int
+    config: BlockerConfig = BlockerConfig()
+
+    def index(self, targets: DataFrame) -> DataFrame:
+        """(channel, key, tid, country) of all targets."""
+        return exact_keys(targets, "tid", (self.number,))
+
+    def generate(self, queries: DataFrame, targets: DataFrame) -> DataFrame:
+        """(s1_id, tid) of records that share a key, within the cap."""
+        return exact_candidates(queries, targets, replace(self.config, channels=(self.number,))).select("s1_id", "tid").distinct()
+
+    def stats(self, targets: DataFrame) -> DataFrame:
+        return size_statistics(self.index(targets), self.config.bucket)
+
+
 def size_statistics(index: DataFrame, bucket: int) -> DataFrame:
     """Sizes of the buckets of each channel."""
     sizes = index.groupBy("channel", "key").agg(F.count("*").alias("size"))

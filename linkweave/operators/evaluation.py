@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkweave.sources.paths import written
+
 from .blocking import CHANNELS
 
 BETA2 = 0.25
@@ -17,6 +19,7 @@ RECALL_KS = [10, 15, 25, 40, 60, 80, 100, 150, 200]
 
 
 def percentile(column: str, p: float) -> Column:
+    """Exact, rounded; a group's task holds its distinct values, so give it counts, or shares of few digits."""
     return F.round(F.expr(f"percentile({column}, {p})"), 6)
 
 
@@ -96,20 +99,27 @@ def budgets(s1: DataFrame, truth: DataFrame, ranking: DataFrame, ks: list[int])
     return flat.groupBy("k").agg(F.round(F.sum("got") / F.greatest(F.lit(1), F.sum("t")), 6).alias("recall"), F.sum("got").alias("captured"), (F.sum("b") - F.sum("got")).alias("lost"), F.count_if(F.col("n") > F.col("k")).alias("truncated"), mean("size").alias("mean_size"), percentile("size", 0.5).alias("median_size"), percentile("size", 0.95).alias("p95_size"), F.sum("size").alias("total_size"))
 
 
-def curves(labelled: DataFrame) -> DataFrame:
+def curves(labelled: DataFrame, parts: int = 256) -> DataFrame:
     """(pr_auc, average_precision, roc_auc) of ``labelled(label, score)``; 0 if only one class is there.
 
-    Rows of equal score are one point, so what is ordered is one row a score, not a pair.
+    Rows of equal score are one point.  Points are cut in ``parts`` by approximate
+    quantiles of the scores; sums run within a part, and over the parts' totals.
     """
-    points = labelled.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    down = Window.orderBy(F.desc("score"))
-    c = points.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "all_p": F.sum("p").over(Window.partitionBy()), "all_n": F.sum("n").over(Window.partitionBy())})
-    c = c.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.col("tp") / F.col("all_p")})
-    c = c.withColumns({"_p": F.coalesce(F.lag("precision").over(down), F.lit(1.0)), "_r": F.coalesce(F.lag("recall").over(down), F.lit(0.0)), "_tp": F.coalesce(F.lag("tp").over(down), F.lit(0))})
-    step = F.col("recall") - F.col("_r")
+    points = written(labelled.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")), "points")
+    cuts = points.agg(F.percentile_approx("score", [i / parts for i in range(1, parts)], 10_000).alias("cuts"))  # one row
+    placed = points.join(F.broadcast(cuts)).withColumn("part", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c > F.col("score")))).drop("cuts")
+    totals = placed.groupBy("part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    whole, before = Window.partitionBy(), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    totals = totals.select("part", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("p_before"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("n_before"), F.sum("_p").over(whole).alias("all_p"), F.sum("_n").over(whole).alias("all_n"))
+    down = Window.partitionBy("part").orderBy(F.desc("score"))
+    c = placed.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)}).join(F.broadcast(totals), "part")
+    c = c.withColumns({"tp": F.col("tp") + F.col("p_before"), "fp": F.col("fp") + F.col("n_before")}).withColumns({"_tp": F.col("tp") - F.col("p"), "_fp": F.col("fp") - F.col("n")})
+    step = F.col("p") / F.col("all_p")
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    last = F.when(F.col("_tp") + F.col("_fp") > 0, F.col("_tp") / (F.col("_tp") + F.col("_fp"))).otherwise(1.0)
     both = (F.max("all_p") > 0) & (F.max("all_n") > 0)
     value = lambda x: F.round(F.coalesce(F.when(both, x), F.lit(0.0)), 6)
-    return c.agg(value(F.sum(step * (F.col("precision") + F.col("_p")) / 2)).alias("pr_auc"), value(F.sum(step * F.col("precision"))).alias("average_precision"), value(F.sum(F.col("n") * (F.col("tp") + F.col("_tp")) / 2) / F.max(F.col("all_p") * F.col("all_n"))).alias("roc_auc"))
+    return c.agg(value(F.sum(step * (precision + last) / 2)).alias("pr_auc"), value(F.sum(step * precision)).alias("average_precision"), value(F.sum(F.col("n") * (F.col("tp") + F.col("_tp")) / 2) / F.max(F.col("all_p") * F.col("all_n"))).alias("roc_auc"))
 
 
 def calibration_bins(labelled: DataFrame, bins: int = 10) -> DataFrame:

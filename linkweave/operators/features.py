@@ -15,6 +15,10 @@ from linkweave.functions import similarity as S
 PROFILE = ["country", "n_alnum", "f_sig", "f_tokens", "f_char2", "f_char3", "f_char4", "a_clean", "f_atokens", "f_awords", "f_achar3", "f_numbers", "f_street", "f_postal", "f_locality", "f_non_latin", "f_has_address"]
 
 
+# The published names of the features, in their order, which models and tables are exchanged by.
+CHANNEL_FLAGS = ["ch1_core_name_hit", "ch2_top2_tokens_hit", "ch3_street_num_hit", "ch4_address_hit", "ch5_char3_hit", "ch6_distinctive_token_hit", "ch7_relaxed_street_hit"]
+
+
 def with_profiles_of(pairs: DataFrame, queries: DataFrame, targets: DataFrame, columns: list[str] = PROFILE) -> DataFrame:
     """Pairs with both profiles.  Pairs are narrow and profiles wide, so it is the join of the pairs that is shuffled last."""
     s = queries.select(F.col("entity_id").alias("s1_id"), *[F.col(c).alias(f"s_{c}") for c in columns])
@@ -72,7 +76,7 @@ def ranker_features() -> dict[str, Column]:
         "name_x_addr_sim": name.cast("float") * address.cast("float"),
         "exact_agreement_count": _flag(exact) + _flag(street) + _flag(postal) + _flag(country),
         "blocking_channel_hit_count": F.col("hits"),
-        **{f"ch{c}_hit": _channel(c) for c in range(1, 8)},
+        **{n: _channel(c) for c, n in enumerate(CHANNEL_FLAGS, 1)},
         "rare_token_score": S.rarity(F.col("rarest_token_df")),
         "is_transliteration_pair": _flag(F.col("s_f_non_latin") != F.col("t_f_non_latin")),
         "target_is_source3": _flag(F.col("tid").startswith("S3")),
@@ -92,52 +96,52 @@ def matcher_features() -> dict[str, Column]:
     postal, country = _equal("f_postal"), _equal("country")
     words = F.array_intersect("s_f_awords", "t_f_awords")
     return {
-        "name_norm_exact": _flag(exact),
-        "name_raw_exact": _flag(exact),
+        "name_norm_exact_match": _flag(exact),
+        "name_raw_exact_match": _flag(exact),
         "name_token_jaccard": name,
         "name_token_containment": _both(S.containment, "f_sig"),
-        "name_char2_jaccard": _both(S.jaccard, "f_char2"),
-        "name_char3_jaccard": _both(S.jaccard, "f_char3"),
-        "name_char4_jaccard": _both(S.jaccard, "f_char4"),
+        "name_char2_sim": _both(S.jaccard, "f_char2"),
+        "name_char3_sim": _both(S.jaccard, "f_char3"),
+        "name_char4_sim": _both(S.jaccard, "f_char4"),
         "name_edit_sim": _both(S.quick_edit_ratio, "n_alnum"),
         "name_len_ratio": _both(S.length_ratio, "n_alnum"),
         "name_token_count_diff": _count_difference("f_tokens"),
-        "rare_token_overlap": S.rarity(F.col("rarest_token_df")),
-        "shared_token_count": _both(S.shared, "f_sig"),
-        "sig_token_jaccard": name,
-        "name_containment_s1": _both(S.directional, "f_sig"),
-        "name_containment_t": S.directional(F.col("t_f_sig"), F.col("s_f_sig")),
-        "addr_exact": _flag(same_address),
+        "name_rare_token_overlap": S.rarity(F.col("rarest_token_df")),
+        "name_shared_token_count": _both(S.shared, "f_sig"),
+        "name_sig_token_overlap": name,
+        "name_containment_s1_in_t": _both(S.directional, "f_sig"),
+        "name_containment_t_in_s1": S.directional(F.col("t_f_sig"), F.col("s_f_sig")),
+        "addr_norm_exact_match": _flag(same_address),
         "addr_token_jaccard": address,
         "addr_token_containment": _both(S.containment, "f_atokens"),
-        "addr_char3_jaccard": _both(S.jaccard, "f_achar3"),
-        "shared_number_count": _both(S.shared, "f_numbers"),
-        "number_jaccard": _both(S.jaccard, "f_numbers"),
-        "street_num_match": _flag(street),
-        "postal_match": _flag(postal),
-        "locality_overlap": _flag(_both(S.shared, "f_locality") > 0),
-        "locality_jaccard": _both(S.jaccard, "f_locality"),
+        "addr_char3_sim": _both(S.jaccard, "f_achar3"),
+        "addr_numeric_overlap_count": _both(S.shared, "f_numbers"),
+        "addr_numeric_jaccard": _both(S.jaccard, "f_numbers"),
+        "addr_street_num_match": _flag(street),
+        "addr_postal_match": _flag(postal),
+        "addr_locality_overlap": _flag(_both(S.shared, "f_locality") > 0),
+        "addr_region_overlap": _both(S.jaccard, "f_locality"),
         "addr_len_ratio": _both(S.length_ratio, "a_clean"),
         "addr_missing_s1": _flag(~F.col("s_f_has_address")),
         "addr_missing_t": _flag(~F.col("t_f_has_address")),
-        "shared_street_words": F.size(words),
-        "longest_street_word": F.coalesce(F.array_max(F.transform(words, lambda w: F.char_length(w))), F.lit(0)),
-        "name_x_addr": name4 * address4,
-        "exact_name_some_addr": _flag(exact & (address4 >= f(0.25))),
+        "addr_shared_tokens_count": F.size(words),
+        "addr_strongest_token_weight": F.coalesce(F.array_max(F.transform(words, lambda w: F.char_length(w))), F.lit(0)),
+        "name_x_addr_sim": name4 * address4,
+        "name_exact_addr_partial": _flag(exact & (address4 >= f(0.25))),
         "high_name_low_addr": _flag((name4 >= f(0.70)) & (address4 < f(0.20))),
         "low_name_high_addr": _flag((name4 < f(0.30)) & (address4 >= f(0.60))),
-        "street_low_name": _flag(street & (name4 < f(0.30))),
-        "same_addr_low_name": _flag(same_address & (name4 < f(0.30))),
-        "consensus_count": _flag(exact) + _flag(same_address) + _flag(street) + _flag(postal) + _flag(country),
-        "channel_count": F.col("hits"),
-        **{f"ch{c}_hit": _channel(c) for c in range(1, 8)},
-        "ch5_score": F.col("ch5_score"),
-        "ranker_score": F.col("ranker_score"),
-        "ranker_rank": F.col("ranker_rank"),
-        "ranker_inverse_rank": 1 / F.greatest(F.lit(1), F.col("ranker_rank")),
+        "exact_numeric_low_name": _flag(street & (name4 < f(0.30))),
+        "exact_addr_low_name": _flag(same_address & (name4 < f(0.30))),
+        "field_consensus_count": _flag(exact) + _flag(same_address) + _flag(street) + _flag(postal) + _flag(country),
+        "blocking_channel_hit_count": F.col("hits"),
+        **{n: _channel(c) for c, n in enumerate(CHANNEL_FLAGS, 1)},
+        "ch5_retrieval_score": F.col("ch5_score"),
+        "candidate_ranker_score": F.col("ranker_score"),
+        "candidate_ranker_rank": F.col("ranker_rank"),
+        "candidate_ranker_reciprocal": 1 / F.greatest(F.lit(1), F.col("ranker_rank")),
         "target_is_source3": _flag(F.col("tid").startswith("S3")),
         "same_country": _flag(country),
-        "transliteration": _flag(F.col("s_f_non_latin") != F.col("t_f_non_latin")),
+        "is_transliteration_pair": _flag(F.col("s_f_non_latin") != F.col("t_f_non_latin")),
     }
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkweave.sources.paths import written
+
 from . import taxonomy
 
 
@@ -12,17 +14,32 @@ def hashed(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))
 
 
+#: Buckets of the hash that a country is cut by: all but one of a country are decided by their number alone.
+BUCKET_DIGITS = 3
+
+
 def stratified_split(records: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """(entity_id, country, part): about ``size`` validation records, each country by its share, the rest training.
 
-    A country with over one record has at least one in each part.  Counts are one row a
-    country; the order within is by a seeded hash of the id.
+    A country with over one record has at least one in each part.  Records are taken in
+    order of a seeded hash of the id.  Counts by bucket of that hash say where the cut
+    lies; only the rows of the bucket that it falls in are ordered.
     """
-    n = F.count("*").over(Window.partitionBy("country"))
-    total = records.agg(F.count("*").alias("total"))
-    df = records.select("entity_id", "country").withColumns({"n": n, "place": F.row_number().over(Window.partitionBy("country").orderBy(hashed(seed, "entity_id"), "entity_id"))}).join(F.broadcast(total))  # one row
-    quota = F.least(F.greatest(F.bround(size * F.col("n") / F.col("total"), 0), F.when(F.col("n") > 1, 1).otherwise(0)), F.col("n") - 1)
-    return df.select("entity_id", "country", F.when(F.col("place") <= quota, "val").otherwise("train").alias("part"))
+    hash_ = hashed(seed, "entity_id")
+    df = records.select("entity_id", F.coalesce("country", F.lit("")).alias("_c"), "country", hash_.alias("_h")).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    buckets = written(df.groupBy("_c", "_b").agg(F.count("*").alias("_k")), "buckets")
+    whole = Window.partitionBy("_c")  # at most a row a bucket
+    upto = F.sum("_k").over(whole.orderBy("_b"))
+    placed = buckets.withColumns({"_upto": upto, "_n": F.sum("_k").over(whole)}).join(F.broadcast(buckets.agg(F.sum("_k").alias("_all"))))  # one row
+    quota = F.least(F.greatest(F.bround(size * F.col("_n") / F.col("_all"), 0), F.when(F.col("_n") > 1, 1).otherwise(0)), F.col("_n") - 1)
+    cut = placed.withColumn("_quota", quota).filter((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_k") < F.col("_quota")))
+    cuts = written(cut.select("_c", F.col("_b").alias("_cut"), (F.col("_quota") - F.col("_upto") + F.col("_k")).alias("_left")), "cuts")  # a row a country
+    joined = df.join(cuts, "_c", "left")
+    on_cut = F.coalesce(F.col("_b") == F.col("_cut"), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("_c").orderBy("_h", "entity_id"))
+    edge = joined.filter(on_cut).withColumn("_val", place <= F.col("_left"))
+    rest = joined.filter(~on_cut).withColumn("_val", F.coalesce(F.col("_b") < F.col("_cut"), F.lit(False)))
+    return edge.unionByName(rest).select("entity_id", "country", F.when(F.col("_val"), "val").otherwise("train").alias("part"))
 
 
 def negatives(labelled: DataFrame, per_positive: int, hard_share: float, hard: Column, keep_without_positives: bool, borrow: bool, seed: int = 42) -> DataFrame:

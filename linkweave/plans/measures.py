@@ -10,6 +10,7 @@ from linkweave.operators import blocking as B
 from linkweave.operators import decisions as D
 from linkweave.operators import evaluation as E
 from linkweave.operators import features as FE
+from linkweave.operators import missed as MI
 from linkweave.operators import models as M
 from linkweave.operators import ranking as R
 from linkweave.operators import sampling as SA
@@ -17,8 +18,9 @@ from linkweave.operators import taxonomy as TX
 from linkweave.operators import validation as V
 from linkweave.sources import records as RE
 from linkweave.sources import sinks
+from linkweave.sources.paths import new_path, written
 
-from .queries import _THEORY, _TRUE_PAIR, Plan, _core, define
+from .queries import _BY_ADDRESS, _THEORY, _TRUE_PAIR, IS_MISSED_SQL, Plan, _core, define, missed_category_sql
 from .sql import query as sql
 
 # ---- similarities over candidate pairs ------------------------------------------------------
@@ -32,18 +34,19 @@ def _pairs(name: str, column, select: str) -> None:
     define(name, sql(["pair"], f"SELECT s1_id, tid, {select} AS v FROM pair"))(lambda p: p.pair.select("s1_id", "tid", column().alias("v")))
 
 
-_A, _B = "strip_accents(s.n_alnum)", "strip_accents(t.n_alnum)"
-_ASCII = r"regexp_full_match(s.n_alnum || t.n_alnum, '[\x00-\x7F]*')"
 _LONG = "greatest(length(s.n_alnum), length(t.n_alnum))"
 
 
-def _ascii_pairs(name: str, column, select: str) -> None:
-    """Over ASCII names: the other engine counts bytes."""
-    define(name, sql(["pair"], f"SELECT s1_id, tid, {select} AS v FROM pair WHERE {_ASCII}"))(lambda p: p.pair.filter(~F.concat("s_n_alnum", "t_n_alnum").rlike(r"[^\x00-\x7F]")).select("s1_id", "tid", column().alias("v")))
+def _letters(side: str) -> str:
+    """A name with each character of the pair that takes several bytes as a capital letter: the other engine's distance counts bytes, and names have no capitals."""
+    others = r"array_to_string(list_sort(list_distinct(regexp_extract_all(s.n_alnum || t.n_alnum, '[^\x00-\x7F]'))), '')"
+    return f"translate({side}.n_alnum, {others}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 
 
-_ascii_pairs("sim_lev", lambda: F.round(_both(S.quick_edit_ratio, "n_alnum"), 6), f"CASE WHEN s.n_alnum = t.n_alnum THEN 1.0 WHEN s.n_alnum = '' OR t.n_alnum = '' OR abs(length(s.n_alnum) - length(t.n_alnum)) > {_LONG} * 0.7 THEN 0.0 ELSE round(greatest(0.0, 1 - levenshtein(s.n_alnum, t.n_alnum) / {_LONG}), 6) END")
-_ascii_pairs("sim_edit", lambda: F.round(_both(S.edit_ratio, "n_alnum"), 6), f"CASE WHEN {_LONG} = 0 THEN 1.0 ELSE round(1 - levenshtein(s.n_alnum, t.n_alnum) / {_LONG}, 6) END")
+_DISTANCE = f"levenshtein({_letters('s')}, {_letters('t')})"
+_QUICK_EDIT = f"CASE WHEN s.n_alnum = t.n_alnum THEN 1.0 WHEN s.n_alnum = '' OR t.n_alnum = '' OR abs(length(s.n_alnum) - length(t.n_alnum)) > {_LONG} * 0.7 THEN 0.0 ELSE greatest(0.0, 1 - {_DISTANCE} / {_LONG}) END"
+_pairs("sim_lev", lambda: F.round(_both(S.quick_edit_ratio, "n_alnum"), 6), f"round({_QUICK_EDIT}, 6)")
+_pairs("sim_edit", lambda: F.round(_both(S.edit_ratio, "n_alnum"), 6), f"CASE WHEN {_LONG} = 0 THEN 1.0 ELSE round(1 - {_DISTANCE} / {_LONG}, 6) END")
 _pairs("sim_jacc", lambda: F.round(_both(S.jaccard, "f_char3"), 6), "round(jac(s.f_char3, t.f_char3), 6)")
 _pairs("sim_jacc1", lambda: F.round(S.jaccard(F.col("s_f_numbers"), F.col("t_f_numbers"), 1.0), 6), "CASE WHEN len(s.f_numbers) = 0 AND len(t.f_numbers) = 0 THEN 1.0 ELSE round(jac(s.f_numbers, t.f_numbers), 6) END")
 _pairs("sim_contain", lambda: F.round(_both(S.containment, "f_sig"), 6), "round(len(list_intersect(s.f_sig, t.f_sig)) / greatest(1, least(len(s.f_sig), len(t.f_sig))), 6)")
@@ -73,7 +76,7 @@ _MINLEN = lambda n: f"least(len(s.{n}), len(t.{n}))"
 _EXACT, _STREET, _POSTAL = "(s.n_alnum = t.n_alnum AND s.n_alnum <> '')", "(s.f_street = t.f_street AND s.f_street <> '')", "(s.f_postal = t.f_postal AND s.f_postal <> '')"
 _COUNTRY, _SAME_A = "(s.country = t.country AND s.country <> '')", "(s.a_clean = t.a_clean AND s.a_clean <> '')"
 _NJ, _AJ = "CAST(jac(s.f_sig, t.f_sig) AS FLOAT)", "CAST(jac(s.f_atokens, t.f_atokens) AS FLOAT)"
-_HITS = {f"ch{c}_hit": _FLAG(f"channel_mask & {1 << (c - 1)} <> 0") for c in range(1, 8)}
+_HITS = {n: _FLAG(f"channel_mask & {1 << (c - 1)} <> 0") for c, n in enumerate(FE.CHANNEL_FLAGS, 1)}
 _STREET_INT = "(s.number = t.number AND s.number <> '')"
 _RANKER_SQL = {
     "name_exact_match": _FLAG(_EXACT), "name_token_jaccard": "jac(s.f_sig, t.f_sig)", "name_token_containment": _CONT("f_sig", _MINLEN("f_sig")),
@@ -86,18 +89,18 @@ _RANKER_SQL = {
 }
 _WORDS = "list_intersect(s.f_awords, t.f_awords)"
 _MATCHER_SQL = {
-    "name_norm_exact": _FLAG(_EXACT), "name_raw_exact": _FLAG(_EXACT), "name_token_jaccard": _RANKER_SQL["name_token_jaccard"], "name_token_containment": _RANKER_SQL["name_token_containment"],
-    "name_char2_jaccard": _RANKER_SQL["name_char2_sim"], "name_char3_jaccard": _RANKER_SQL["name_char3_sim"], "name_char4_jaccard": _RANKER_SQL["name_char4_sim"],
-    "name_len_ratio": _RANKER_SQL["name_len_ratio"], "name_token_count_diff": _RANKER_SQL["name_token_count_diff"], "rare_token_overlap": _RANKER_SQL["rare_token_score"],
-    "shared_token_count": "len(list_intersect(s.f_sig, t.f_sig))", "sig_token_jaccard": _RANKER_SQL["name_token_jaccard"], "name_containment_s1": _CONT("f_sig", "len(s.f_sig)"), "name_containment_t": _CONT("f_sig", "len(t.f_sig)"),
-    "addr_exact": _FLAG(_SAME_A), "addr_token_jaccard": _RANKER_SQL["addr_token_jaccard"], "addr_token_containment": _RANKER_SQL["addr_token_containment"], "addr_char3_jaccard": _RANKER_SQL["addr_char3_sim"],
-    "shared_number_count": "len(list_intersect(s.f_numbers, t.f_numbers))", "number_jaccard": "jac(s.f_numbers, t.f_numbers)", "street_num_match": _FLAG(_STREET_INT), "postal_match": _FLAG(_POSTAL),
-    "locality_overlap": _FLAG("len(list_intersect(s.f_locality, t.f_locality)) > 0"), "locality_jaccard": "jac(s.f_locality, t.f_locality)", "addr_len_ratio": "least(length(s.a_clean), length(t.a_clean)) / greatest(1, length(s.a_clean), length(t.a_clean))",
-    "addr_missing_s1": _FLAG("NOT s.f_has_address"), "addr_missing_t": _FLAG("NOT t.f_has_address"), "shared_street_words": f"len({_WORDS})", "longest_street_word": f"coalesce(list_max(list_transform({_WORDS}, lambda w: length(w))), 0)",
-    "name_x_addr": f"{_NJ} * {_AJ}", "exact_name_some_addr": _FLAG(f"{_EXACT} AND {_AJ} >= CAST(0.25 AS FLOAT)"), "high_name_low_addr": _FLAG(f"{_NJ} >= CAST(0.7 AS FLOAT) AND {_AJ} < CAST(0.2 AS FLOAT)"),
-    "low_name_high_addr": _FLAG(f"{_NJ} < CAST(0.3 AS FLOAT) AND {_AJ} >= CAST(0.6 AS FLOAT)"), "street_low_name": _FLAG(f"{_STREET_INT} AND {_NJ} < CAST(0.3 AS FLOAT)"), "same_addr_low_name": _FLAG(f"{_SAME_A} AND {_NJ} < CAST(0.3 AS FLOAT)"),
-    "consensus_count": " + ".join(map(_FLAG, (_EXACT, _SAME_A, _STREET_INT, _POSTAL, _COUNTRY))), "channel_count": "hits", **_HITS, "ch5_score": "ch5_score", "ranker_score": "score01", "ranker_rank": "rank", "ranker_inverse_rank": "1 / rank",
-    "target_is_source3": _FLAG("tid LIKE 'S3%'"), "same_country": _FLAG(_COUNTRY), "transliteration": _FLAG("s.f_non_latin <> t.f_non_latin"),
+    "name_norm_exact_match": _FLAG(_EXACT), "name_raw_exact_match": _FLAG(_EXACT), "name_token_jaccard": _RANKER_SQL["name_token_jaccard"], "name_token_containment": _RANKER_SQL["name_token_containment"],
+    "name_char2_sim": _RANKER_SQL["name_char2_sim"], "name_char3_sim": _RANKER_SQL["name_char3_sim"], "name_char4_sim": _RANKER_SQL["name_char4_sim"], "name_edit_sim": _QUICK_EDIT,
+    "name_len_ratio": _RANKER_SQL["name_len_ratio"], "name_token_count_diff": _RANKER_SQL["name_token_count_diff"], "name_rare_token_overlap": _RANKER_SQL["rare_token_score"],
+    "name_shared_token_count": "len(list_intersect(s.f_sig, t.f_sig))", "name_sig_token_overlap": _RANKER_SQL["name_token_jaccard"], "name_containment_s1_in_t": _CONT("f_sig", "len(s.f_sig)"), "name_containment_t_in_s1": _CONT("f_sig", "len(t.f_sig)"),
+    "addr_norm_exact_match": _FLAG(_SAME_A), "addr_token_jaccard": _RANKER_SQL["addr_token_jaccard"], "addr_token_containment": _RANKER_SQL["addr_token_containment"], "addr_char3_sim": _RANKER_SQL["addr_char3_sim"],
+    "addr_numeric_overlap_count": "len(list_intersect(s.f_numbers, t.f_numbers))", "addr_numeric_jaccard": "jac(s.f_numbers, t.f_numbers)", "addr_street_num_match": _FLAG(_STREET_INT), "addr_postal_match": _FLAG(_POSTAL),
+    "addr_locality_overlap": _FLAG("len(list_intersect(s.f_locality, t.f_locality)) > 0"), "addr_region_overlap": "jac(s.f_locality, t.f_locality)", "addr_len_ratio": "least(length(s.a_clean), length(t.a_clean)) / greatest(1, length(s.a_clean), length(t.a_clean))",
+    "addr_missing_s1": _FLAG("NOT s.f_has_address"), "addr_missing_t": _FLAG("NOT t.f_has_address"), "addr_shared_tokens_count": f"len({_WORDS})", "addr_strongest_token_weight": f"coalesce(list_max(list_transform({_WORDS}, lambda w: length(w))), 0)",
+    "name_x_addr_sim": f"{_NJ} * {_AJ}", "name_exact_addr_partial": _FLAG(f"{_EXACT} AND {_AJ} >= CAST(0.25 AS FLOAT)"), "high_name_low_addr": _FLAG(f"{_NJ} >= CAST(0.7 AS FLOAT) AND {_AJ} < CAST(0.2 AS FLOAT)"),
+    "low_name_high_addr": _FLAG(f"{_NJ} < CAST(0.3 AS FLOAT) AND {_AJ} >= CAST(0.6 AS FLOAT)"), "exact_numeric_low_name": _FLAG(f"{_STREET_INT} AND {_NJ} < CAST(0.3 AS FLOAT)"), "exact_addr_low_name": _FLAG(f"{_SAME_A} AND {_NJ} < CAST(0.3 AS FLOAT)"),
+    "field_consensus_count": " + ".join(map(_FLAG, (_EXACT, _SAME_A, _STREET_INT, _POSTAL, _COUNTRY))), "blocking_channel_hit_count": "hits", **_HITS, "ch5_retrieval_score": "ch5_score", "candidate_ranker_score": "score01", "candidate_ranker_rank": "rank", "candidate_ranker_reciprocal": "1 / rank",
+    "target_is_source3": _FLAG("tid LIKE 'S3%'"), "same_country": _FLAG(_COUNTRY), "is_transliteration_pair": _FLAG("s.f_non_latin <> t.f_non_latin"),
 }
 
 
@@ -122,7 +125,7 @@ def _matcher_pairs(p: Plan) -> DataFrame:
 
 @define("feat_matcher", sql(["pair", "scored"], f"SELECT s1_id, tid, {_sql_features(_MATCHER_SQL)} FROM pair JOIN (SELECT s1_id, tid, score01, rank FROM scored) USING (s1_id, tid)"))
 def _(p):
-    made = {k: v for k, v in FE.matcher_features().items() if k != "name_edit_sim"}  # sim_lev checks that one, on ASCII
+    made = FE.matcher_features()
     return _rounded(FE.vectors(_matcher_pairs(p), made), made)
 
 
@@ -221,7 +224,28 @@ def _(p):
     return E.scores(E.counts(p.s1.select("*", grid), p.truth, matches, ("th",))).groupBy("th").agg(E.mean("f05").alias("macro_f05"))
 
 
-@define("srch_best")
+_OPEN_SQL = "top >= 0.5 AND top >= th"
+_RULES_SQL = {
+    "global_threshold": "score01 >= th",
+    "threshold_and_margin": "score01 >= greatest(th, top - mg)",
+    "adaptive_relative": "score01 >= greatest(th, top * (1.0 - mg))",
+    "score_drop_elbow": "sum(CASE WHEN score01 < th OR coalesce(prev - score01 > mg, false) THEN 1 ELSE 0 END) OVER (PARTITION BY th, mg, s1_id ORDER BY rank) = 0",
+}
+_BEST_SQL = f"""ths AS (SELECT CAST(unnest({_GRID}) AS DOUBLE) AS th),
+tops AS (SELECT *, max(score01) OVER (PARTITION BY s1_id) AS top, lag(score01) OVER (PARTITION BY s1_id ORDER BY rank) AS prev FROM scored),
+of_truth AS (SELECT s.entity_id AS s1_id, count(z.tid) AS nt FROM s LEFT JOIN truth z ON z.s1_id = s.entity_id GROUP BY s.entity_id),
+pred0 AS (SELECT '{"global_threshold"}' AS strategy, th, CAST(0 AS DOUBLE) AS mg, s1_id, tid FROM tops, ths WHERE {_OPEN_SQL} AND {_RULES_SQL["global_threshold"]}),
+per0 AS (SELECT g.th, o.s1_id, o.nt, count(p.tid) AS np, count(z.tid) AS nb FROM ths g CROSS JOIN of_truth o LEFT JOIN pred0 p ON p.th = g.th AND p.s1_id = o.s1_id LEFT JOIN truth z ON z.s1_id = p.s1_id AND z.tid = p.tid GROUP BY ALL),
+f AS (SELECT 'global_threshold' AS strategy, th, CAST(0 AS DOUBLE) AS mg, round(avg(fscore), 6) AS macro_f05 FROM (SELECT th, CASE WHEN nt = 0 AND np = 0 THEN 1.0 WHEN nt = 0 OR np = 0 OR nb = 0 THEN 0.0 ELSE 1.25 * (nb / np) * (nb / nt) / (0.25 * (nb / np) + nb / nt) END AS fscore FROM per0) GROUP BY th),
+focus AS (SELECT th FROM f ORDER BY macro_f05 DESC, th LIMIT 5),
+grid AS (SELECT th, CAST(unnest([0.1, 0.15, 0.2, 0.25, 0.3]) AS DOUBLE) AS mg FROM focus),
+pred1 AS ({" UNION ALL ".join(f"SELECT '{k}' AS strategy, th, mg, s1_id, tid FROM (SELECT *, {v} AS ok FROM tops, grid WHERE {_OPEN_SQL}) WHERE ok" for k, v in _RULES_SQL.items() if k != "global_threshold")}),
+settings AS (SELECT unnest(['threshold_and_margin', 'score_drop_elbow', 'adaptive_relative']) AS strategy, th, mg FROM grid),
+per1 AS (SELECT g.strategy, g.th, g.mg, o.s1_id, o.nt, count(p.tid) AS np, count(z.tid) AS nb FROM settings g CROSS JOIN of_truth o LEFT JOIN pred1 p ON p.strategy = g.strategy AND p.th = g.th AND p.mg = g.mg AND p.s1_id = o.s1_id LEFT JOIN truth z ON z.s1_id = p.s1_id AND z.tid = p.tid GROUP BY ALL),
+f1 AS (SELECT strategy, th, mg, round(avg(fscore), 6) AS macro_f05 FROM (SELECT *, CASE WHEN nt = 0 AND np = 0 THEN 1.0 WHEN nt = 0 OR np = 0 OR nb = 0 THEN 0.0 ELSE 1.25 * (nb / np) * (nb / nt) / (0.25 * (nb / np) + nb / nt) END AS fscore FROM per1) GROUP BY ALL)"""
+
+
+@define("srch_best", sql(["scored", "truth", "s"], "SELECT strategy, th AS threshold, mg AS margin, macro_f05 FROM f UNION ALL SELECT strategy, th, mg, macro_f05 FROM f1", _BEST_SQL))
 def _(p):
     from linkweave.operators.search import best_rule
 
@@ -396,6 +420,10 @@ def _(p):
     return E.conflict_audit(p.truth, _claims(p), D.one_to_one(_claims(p)))
 
 
+def _hard(a: float, b: float, c: float, d: float, e: float) -> str:
+    return f"(jac(s.f_sig, t.f_sig) >= {a} AND jac(s.f_atokens, t.f_atokens) < {b}) OR (jac(s.f_atokens, t.f_atokens) >= {c} AND jac(s.f_sig, t.f_sig) < {d}) OR ({_STREET} AND jac(s.f_sig, t.f_sig) >= {e}) OR hits >= 2"
+
+
 # ---- taxonomies -----------------------------------------------------------------------------
 
 
@@ -418,9 +446,9 @@ def _(p):
     return c.withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy("s1_id", "tid"))).filter("n <= 3").drop("n")
 
 
-@define("agg_categ2", sql(["pair"], f"SELECT category, CAST(count(*) AS BIGINT) AS n FROM (SELECT {_missed_sql(0.25)} AS category FROM pair) GROUP BY category"))
+@define("agg_categ2", sql(["truth", "s", "t"], f"SELECT category, CAST(count(*) AS BIGINT) AS n, {', '.join(f'CAST(count(*) FILTER (WHERE {k}) AS BIGINT) AS found_by_{k}' for k in _THEORY)} FROM (SELECT {missed_category_sql()} AS category, {', '.join(f'coalesce({v}, false) AS {k}' for k, v in _THEORY.items())} {_TRUE_PAIR} WHERE {IS_MISSED_SQL}) GROUP BY category"))
 def _(p):
-    return p.pair.groupBy(TX.missed_pair(0.25).alias("category")).agg(F.count("*").alias("n"))
+    return MI.categories(p.true_pair, _BY_ADDRESS)
 
 
 @define("agg_unbiased", sql(["pair", "truth", "scored"], f"SELECT category, CAST(count(*) AS BIGINT) AS n, CAST(count(rank) AS BIGINT) AS retrieved, CAST(count(*) FILTER (WHERE rank <= 10) AS BIGINT) AS compressed FROM (SELECT {_UNBIASED} AS category, x.rank {_TRUE_PAIR} LEFT JOIN scored x ON x.s1_id = z.s1_id AND x.tid = z.tid) GROUP BY category"))
@@ -450,23 +478,35 @@ def _(p):
     return r.groupBy("country", F.substring("tid", 1, 2).alias("source")).agg(F.count("*").alias("n"), F.count_if(F.col("rank") <= 40).alias("kept"))
 
 
-_TR = ["name_token_jaccard", "name_char3_sim", "addr_token_jaccard"]
+# The records have no script but Latin: names with a letter beyond ASCII stand in for transliterated ones.
+_BARE = {k: v.replace("rarest_token_df", "0").replace("channel_mask", "0") if k != "blocking_channel_hit_count" else "0" for k, v in _RANKER_SQL.items()}
+_OTHER_LETTERS = r"regexp_matches(s.business_name || t.business_name, '[^\x00-\x7F]')"
+_MEANS = ", ".join(f"coalesce(round(avg(CAST(CAST({k} AS FLOAT) AS DOUBLE)), 4), 0) AS {k}" for k in _RANKER_SQL)
 
 
-@define("agg_translit", sql(["pair", "truth"], f"SELECT z.tid IS NOT NULL AS is_true, CAST(count(*) AS BIGINT) AS n, {', '.join(f'round(avg({_RANKER_SQL[c]}), 4) AS {c}' for c in _TR)} FROM pair LEFT JOIN truth z ON z.s1_id = pair.s1_id AND z.tid = pair.tid GROUP BY 1"))
+@define("agg_translit", sql(["truth", "scored"], f"SELECT g.pairs, CAST(count(m.s1_id) AS BIGINT) AS n, {_MEANS} FROM (SELECT unnest(['retained_true_positives', 'missed_false_negatives', 'hard_negatives']) AS pairs) g LEFT JOIN means m ON m.pairs = g.pairs GROUP BY g.pairs", f"""groups AS (SELECT z.s1_id, z.tid, CASE WHEN x.rank <= 5 THEN 'retained_true_positives' ELSE 'missed_false_negatives' END AS pairs {_TRUE_PAIR} LEFT JOIN scored x ON x.s1_id = z.s1_id AND x.tid = z.tid WHERE {_OTHER_LETTERS}
+ UNION ALL SELECT pair.s1_id, pair.tid, 'hard_negatives' FROM pair LEFT JOIN truth z ON z.s1_id = pair.s1_id AND z.tid = pair.tid WHERE z.tid IS NULL AND {_OTHER_LETTERS} AND ({_hard(0.4, 0.2, 0.35, 0.2, 0.25)})),
+means AS (SELECT q.pairs, q.s1_id, tid, {', '.join(f'{v} AS {k}' for k, v in _BARE.items())} FROM groups q JOIN s ON s.entity_id = q.s1_id JOIN t ON t.entity_id = q.tid)"""))
 def _(p):
-    made = FE.vectors(p.pair, {k: v for k, v in FE.ranker_features().items() if k in _TR}).join(p.truth.withColumn("_t", F.lit(True)), ["s1_id", "tid"], "left")
-    return made.groupBy(F.coalesce("_t", F.lit(False)).alias("is_true")).agg(F.count("*").alias("n"), *[F.round(F.avg(F.col(c).cast("double")), 4).alias(c) for c in _TR])
+    other = lambda df: df.filter(F.concat("s_business_name", "t_business_name").rlike(r"[^\x00-\x7F]"))
+    ranked = p.true_pair.join(p.scored.select("s1_id", "tid", "rank"), ["s1_id", "tid"], "left")
+    kept = F.coalesce(F.col("rank") <= 5, F.lit(False))
+    false_ = p.pair.join(p.truth, ["s1_id", "tid"], "left_anti").filter(TX.is_hard(0.40, 0.20, 0.35, 0.20, 0.25))
+    return MI.feature_means(other(ranked.filter(kept)), other(ranked.filter(~kept)), other(false_))
 
 
-_NS = {"jaccard": "jac(s.f_sig, t.f_sig)", "char3": "jac(s.f_char3, t.f_char3)", "contain": _RANKER_SQL["name_token_containment"]}
+_SOME = "len(s.f_tokens) > 0 AND len(t.f_tokens) > 0"
+_BOTH_EMPTY = "s.n_alnum = '' AND t.n_alnum = ''"
+_NS = {
+    "exact_name_equality": _FLAG(_EXACT), "token_jaccard": "jac(s.f_tokens, t.f_tokens)", "char_2gram_overlap": "jac(s.f_char2, t.f_char2)", "char_3gram_overlap": "jac(s.f_char3, t.f_char3)", "char_4gram_overlap": "jac(s.f_char4, t.f_char4)",
+    "edit_similarity": f"CASE WHEN {_LONG} = 0 THEN 1.0 ELSE 1 - {_DISTANCE} / {_LONG} END", "prefix_overlap": f"CASE WHEN {_BOTH_EMPTY} THEN 1.0 ELSE {_PRE % (('s.n_alnum', 't.n_alnum') * 2)} / greatest(1, {_LONG}) END", "suffix_overlap": f"CASE WHEN {_BOTH_EMPTY} THEN 1.0 ELSE {_PRE % _R} / greatest(1, {_LONG}) END",
+    "length_ratio": f"CASE WHEN {_BOTH_EMPTY} THEN 1.0 ELSE least(length(s.n_alnum), length(t.n_alnum)) / greatest(1, {_LONG}) END", "token_containment": f"CASE WHEN {_SOME} AND (len(list_intersect(s.f_tokens, t.f_tokens)) = len(s.f_tokens) OR len(list_intersect(s.f_tokens, t.f_tokens)) = len(t.f_tokens)) THEN 1.0 ELSE 0.0 END",
+}
 
 
-@define("agg_namesim", sql(["pair", "truth"], " UNION ALL ".join(f"SELECT is_true, '{k}' AS metric, round(avg(v), 6) AS mean, {_Q('v', 0.25)} AS p25, {_Q('v', 0.5)} AS p50, {_Q('v', 0.75)} AS p75, {_Q('v', 0.9)} AS p90, {_Q('v', 0.95)} AS p95 FROM (SELECT z.tid IS NOT NULL AS is_true, {v} AS v FROM pair LEFT JOIN truth z ON z.s1_id = pair.s1_id AND z.tid = pair.tid) GROUP BY is_true" for k, v in _NS.items())))
+@define("agg_namesim", sql(["truth", "s", "t"], f"SELECT pairs, metric, CAST(count(*) AS BIGINT) AS n, round(avg(v), 6) AS mean, {', '.join(f'{_Q(chr(118), q / 100)} AS p{q}' for q in (25, 50, 75, 90, 95))} FROM (SELECT unnest(groups) AS pairs, metric, v FROM ns) GROUP BY ALL", f"ns0 AS (SELECT CASE WHEN NOT ({IS_MISSED_SQL}) THEN ['correctly_blocked_matches'] WHEN t.f_has_address THEN ['all_missed_pairs'] ELSE ['all_missed_pairs', 'missed_empty_target_address'] END AS groups, s, t {_TRUE_PAIR}), ns AS ({' UNION ALL '.join(f'SELECT groups, {chr(39)}{k}{chr(39)} AS metric, round({v}, 6) AS v FROM ns0' for k, v in _NS.items())})"))
 def _(p):
-    values = {"jaccard": _both(S.jaccard, "f_sig"), "char3": _both(S.jaccard, "f_char3"), "contain": _both(S.containment, "f_sig")}
-    each = p.pair.join(p.truth.withColumn("_t", F.lit(True)), ["s1_id", "tid"], "left").select(F.coalesce("_t", F.lit(False)).alias("is_true"), F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in values.items()])).alias("x")).select("is_true", "x.*")
-    return each.groupBy("is_true", "metric").agg(E.mean("v").alias("mean"), *[E.percentile("v", q / 100).alias(f"p{q}") for q in (25, 50, 75, 90, 95)])
+    return MI.name_similarity_summary(p.true_pair, _BY_ADDRESS)
 
 
 # ---- samples and models ---------------------------------------------------------------------
@@ -493,10 +533,6 @@ ng1 AS (SELECT *, sum(label) OVER (PARTITION BY s1_id) AS p, count(*) FILTER (WH
 ng2 AS (SELECT *, greatest(p, 1) * {per} AS want, least(h, round_even(greatest(p, 1) * {per} * {share}, 0)) AS nh FROM ng1 WHERE p > 0 OR {keep})""")
 
 
-def _hard(a: float, b: float, c: float, d: float, e: float) -> str:
-    return f"(jac(s.f_sig, t.f_sig) >= {a} AND jac(s.f_atokens, t.f_atokens) < {b}) OR (jac(s.f_atokens, t.f_atokens) >= {c} AND jac(s.f_sig, t.f_sig) < {d}) OR ({_STREET} AND jac(s.f_sig, t.f_sig) >= {e}) OR hits >= 2"
-
-
 @define("ml_neg_rank", _negatives_sql(8, 0.6, _hard(0.4, 0.2, 0.35, 0.2, 0.25), False, True))
 def _(p):
     return SA.ranker_negatives(_labelled(p))
@@ -526,26 +562,69 @@ def _(p):
     return _ranker_data(p).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("s1_id").alias("records"))
 
 
-#: Boosting rounds of the queries; the operators' own defaults are larger.
-ROUNDS = 5
+#: Paths of the models that queries of this session have trained: (application, folder of tables, kind).
+_TRAINED: dict[tuple[str, str, str], str] = {}
+
+
+def _trained(p: Plan, kind: str) -> M.PairModel:
+    """The full model of this kind, trained once a session and folder, saved, and loaded by each query that needs it."""
+    make, names, data = {"ranker": (M.ranker, FE.ranker_features, _ranker_data), "matcher": (M.matcher, FE.matcher_features, _matcher_data)}[kind]
+    key = (p.spark.sparkContext.applicationId, p.sf_dir, kind)
+    if key not in _TRAINED:
+        path = new_path(p.spark, f"model-{kind}")
+        make(list(names())).fit(data(p)).save(path)
+        _TRAINED[key] = path
+    return make(list(names())).load(_TRAINED[key])
 
 
 @define("ml_ranker")
 def _(p):
-    model = M.ranker(list(FE.ranker_features()), rounds=ROUNDS).fit(_ranker_data(p))
-    return model.score(FE.vectors(p.pair, FE.ranker_features())).select("s1_id", "tid", "score")
+    return _trained(p, "ranker").score(FE.vectors(p.pair, FE.ranker_features())).select("s1_id", "tid", "score")
 
 
 @define("ml_matcher")
 def _(p):
-    model = M.matcher(list(FE.matcher_features()), "logistic").fit(_matcher_data(p))
-    return model.score(FE.vectors(_matcher_pairs(p), FE.matcher_features())).select("s1_id", "tid", "score")
+    return _trained(p, "matcher").score(FE.vectors(_matcher_pairs(p), FE.matcher_features())).select("s1_id", "tid", "score")
 
 
 @define("ml_imp")
 def _(p):
-    model = M.ranker(list(FE.ranker_features()), rounds=ROUNDS).fit(_ranker_data(p))
-    return p.spark.createDataFrame(list(model.importances().items()), "feature string, importance double")
+    return p.spark.createDataFrame(list(_trained(p, "ranker").importances().items()), "feature string, importance double")
+
+
+@define("sink_model", sql(["pair"], "SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(0 AS BIGINT) AS differing FROM pair"))
+def _(p):
+    """A saved and loaded model scores as the one that was fitted; a quick model, as the path is the same."""
+    names = list(FE.ranker_features())
+    made = M.PairModel(names, "logistic").fit(_ranker_data(p))
+    path = new_path(p.spark, "model")
+    made.save(path)
+    rows = written(FE.vectors(p.pair, FE.ranker_features()), "vectors")
+    both = made.score(rows, "a").select("s1_id", "tid", "a").join(M.PairModel(names, "logistic").load(path).score(rows, "b").select("s1_id", "tid", "b"), ["s1_id", "tid"])
+    return both.agg(F.count("*").alias("pairs"), F.count_if(F.col("a") != F.col("b")).alias("differing"))
+
+
+@define("ml_batch", sql(["pair"], "SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(0 AS BIGINT) AS differing FROM pair"))
+def _(p):
+    """Scores of all pairs at once are those of the pairs in seven batches."""
+    names = list(FE.ranker_features())
+    model = M.PairModel(names, "logistic").fit(_ranker_data(p))
+    rows = written(FE.vectors(p.pair, FE.ranker_features()), "vectors")
+    batch = F.pmod(F.xxhash64("s1_id", "tid"), F.lit(7))
+    parts = [model.score(rows.filter(batch == i), "b").select("s1_id", "tid", "b") for i in range(7)]
+    some = parts[0]
+    for more in parts[1:]:
+        some = some.unionByName(more)
+    both = model.score(rows, "a").select("s1_id", "tid", "a").join(some, ["s1_id", "tid"])
+    return both.agg(F.count("*").alias("pairs"), F.count_if(F.col("a") != F.col("b")).alias("differing"))
+
+
+@define("link_trained")
+def _(p):
+    """The whole plan with both trained models: (s1_id, tid, score), each target once."""
+    from .link import link
+
+    return link(p.rec, ranker=_trained(p, "ranker"), matcher=_trained(p, "matcher")).select("s1_id", "tid", "score")
 
 
 @define("ml_calib")
@@ -593,3 +672,15 @@ def _(p):
 
     return link(p.rec).select("s1_id", "tid", F.round("score", 6).alias("score"))
 
+
+@define("sink_shard", sql(["scored"], "SELECT s1_id, tid, round(score01, 6) AS score FROM d40", _FIRST40))
+def _(p):
+    """Claims of two shards; the second run finds both there and makes none."""
+    from . import shards
+
+    root = new_path(p.spark, "linkage-shards")
+    shards.run_shards(p.rec, root, 2)
+    if shards.run_shards(p.rec, root, 2):
+        raise RuntimeError("shards that are there were made again")
+    return shards.claims(p.spark, root, 2).select("s1_id", "tid", F.round("score", 6).alias("score"))
+

@@ -12,10 +12,12 @@ from linkweave.functions import keys as K
 from linkweave.functions import similarity as S
 from linkweave.functions import text as T
 from linkweave.functions.words import ADDRESS_STOPWORDS
+from linkweave.operators import audit as AU
 from linkweave.operators import blocking as B
 from linkweave.operators import decisions as D
 from linkweave.operators import evaluation as E
 from linkweave.operators import features as FE
+from linkweave.operators import missed as MI
 from linkweave.operators import ranking as R
 from linkweave.operators import taxonomy as TX
 from linkweave.sources import records as RE
@@ -94,7 +96,7 @@ class Plan:
         return E.scores(self.counted)
 
     def make_true_pair(self):
-        return FE.with_profiles_of(self.truth, self.s, self.t, [*TX.COLUMNS, "ch1", "ch2", "ch3", "ch4"])
+        return FE.with_profiles_of(self.truth, self.s, self.t, MI.COLUMNS)
 
     def make_labelled(self):
         t = self.truth.withColumn("label", F.lit(1))
@@ -209,11 +211,56 @@ def _(p):
     return sinks.digest(p.won, ["s1_id", "tid"])
 
 
-@define("sink_missed_csv", sql(["cand", "truth"], "SELECT z.s1_id, z.tid, a.business_name AS s_name, b.business_name AS t_name FROM truth z JOIN rec a ON a.entity_id = z.s1_id JOIN rec b ON b.entity_id = z.tid WHERE NOT EXISTS (SELECT 1 FROM won w WHERE w.s1_id = z.s1_id AND w.tid = z.tid)".replace("won", "cand")))
+#: Channels that miss true pairs of these records, which have no names that differ.
+_BY_ADDRESS = {"ch3_street_num_token": "ch3", "ch4_address_location": "ch4"}
+
+
+def missed_category_sql() -> str:
+    ov = "len(list_intersect(s.f_tokens, t.f_tokens))"
+    return f"CASE WHEN NOT t.f_has_address THEN 'missing_target_address' WHEN t.f_non_latin AND NOT s.f_non_latin THEN 'transliteration' WHEN len(s.n_sig) > 0 AND s.n_sig = t.n_sig THEN 'legal_suffix' WHEN len(s.n_sig) > 0 AND list_sort(s.n_sig) = list_sort(t.n_sig) THEN 'word_order' WHEN len(s.f_numbers) > 0 AND len(t.f_numbers) = 0 THEN 'missing_street_number' WHEN {ov} = 0 AND jac(s.f_atokens, t.f_atokens) >= 0.25 THEN 'trade_name_or_dba' WHEN {ov} > 0 THEN 'name_typo_or_abbreviation' ELSE 'unknown' END"
+
+
+IS_MISSED_SQL = "NOT (s.ch3 <> '' AND s.ch3 = t.ch3) AND NOT (s.ch4 <> '' AND s.ch4 = t.ch4)"
+_MISSED_SQL = f"""SELECT category AS failure_category, s1_id, s.country AS s1_country, s.business_name AS s1_name, s.business_address AS s1_address, tid AS target_id, substr(tid, 1, 2) AS target_source, t.business_name AS target_name, t.business_address AS target_address,
+ CASE WHEN len(s.n_sig) > 0 THEN array_to_string(s.n_sig, ' ') ELSE s.n_alnum END AS norm_s1_name, CASE WHEN len(t.n_sig) > 0 THEN array_to_string(t.n_sig, ' ') ELSE t.n_alnum END AS norm_target_name, s.a_clean AS norm_s1_address, t.a_clean AS norm_target_address,
+ 'ch3_street_num_token; ch4_address_location' AS failed_blocking_channels, CASE WHEN s.f_has_address THEN 'true' ELSE 'false' END AS s1_has_address, CASE WHEN t.f_has_address THEN 'true' ELSE 'false' END AS target_has_address,
+ array_to_string(s.a_numbers, '; ') AS s1_numeric_tokens, array_to_string(t.a_numbers, '; ') AS target_numeric_tokens, CAST(len(s.n_tokens) AS VARCHAR) AS s1_name_token_count, CAST(len(t.n_tokens) AS VARCHAR) AS target_name_token_count, CAST(length(s.business_name) AS VARCHAR) AS s1_name_char_len, CAST(length(t.business_name) AS VARCHAR) AS target_name_char_len
+ FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY s1_id, tid) AS n FROM (SELECT z.s1_id, z.tid, s, t, {missed_category_sql()} AS category FROM truth z JOIN s ON s.entity_id = z.s1_id JOIN t ON t.entity_id = z.tid WHERE {IS_MISSED_SQL})) WHERE n <= 120"""
+
+
+@define("sink_missed_csv", sql(["truth", "s", "t"], _MISSED_SQL))
 def _(p):
-    missed = p.truth.join(p.cand, ["s1_id", "tid"], "left_anti")
-    names = lambda i, n: p.rec.select(F.col("entity_id").alias(i), F.col("business_name").alias(n))
-    return missed.join(names("s1_id", "s_name"), "s1_id").join(names("tid", "t_name"), "tid").select("s1_id", "tid", "s_name", "t_name")
+    path = new_path(p.spark, "missed-csv")
+    sinks.write_csv(MI.examples(p.true_pair, _BY_ADDRESS), path)
+    rows = p.spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in MI.MISSED_COLUMNS), quote='"', escape='"')
+    return rows.na.fill("")
+
+
+@define("scan_json", sql(["rec"], f"SELECT {_REC} FROM rec"))
+def _(p):
+    path = new_path(p.spark, "json")
+    sinks.write_json(p.rec.select(*RE.RECORD_COLUMNS), path)
+    return RE.read_json(p.spark, path, ", ".join(f"{c} string" for c in RE.RECORD_COLUMNS))
+
+
+def _measures_sql(section: str, name: str, of: str, measures: dict[str, str]) -> str:
+    names = ", ".join(f"'{m}'" for m in measures)
+    values = ", ".join(f"CAST({v} AS DOUBLE)" for v in measures.values())
+    return f"SELECT '{section}' AS section, name, unnest([{names}]) AS measure, unnest(v) AS value FROM (SELECT {name} AS name, [{values}] AS v FROM {of} GROUP BY 1)"
+
+
+_LENGTHS = {f"{what}_length_{n}": f.format(f"length(business_{what})") for what in ("name", "address") for n, f in (("min", "min({})"), ("median", "round(quantile_cont({}, 0.5), 6)"), ("mean", "round(avg({}), 6)"), ("p95", "round(quantile_cont({}, 0.95), 6)"), ("max", "max({})"))}
+_S1_MEASURES = {"total_s1": "count(*)", "singletons": "count(*) FILTER (WHERE n = 0)", "total_matches": "sum(n)", "mean_matches": "round(avg(n), 6)"}
+_ALL_MEASURES = _S1_MEASURES | {"s2_only": "count(*) FILTER (WHERE n2 > 0 AND n3 = 0)", "s3_only": "count(*) FILTER (WHERE n3 > 0 AND n2 = 0)", "both_s2_and_s3": "count(*) FILTER (WHERE n2 > 0 AND n3 > 0)"} | {f"p{q}_matches": f"round(quantile_cont(n, {q / 100}), 6)" for q in (25, 50, 75, 95, 99)} | {"max_matches": "max(n)"}
+_SOURCE_MEASURES = {"total_rows": "count(*)", "unique_ids": "count(DISTINCT entity_id)", "empty_names": "count(*) FILTER (WHERE business_name = '')", "empty_addresses": "count(*) FILTER (WHERE business_address = '')"} | _LENGTHS | {"duplicate_ids": "count(*) - count(DISTINCT entity_id)"}
+_PER_S1 = "per_s1 AS (SELECT r.entity_id, r.country, count(z.tid) AS n, count(z.tid) FILTER (WHERE z.tid LIKE 'S2-%') AS n2, count(z.tid) FILTER (WHERE z.tid LIKE 'S3-%') AS n3 FROM rec r LEFT JOIN truth z ON z.s1_id = r.entity_id WHERE r.entity_id LIKE 'S1-%' GROUP BY ALL)"
+
+
+@define("sink_report", sql(["truth"], " UNION ALL ".join([_measures_sql("sources", "substr(entity_id, 1, 2)", "rec", _SOURCE_MEASURES), _measures_sql("ground_truth", "'all'", "per_s1", _ALL_MEASURES), _measures_sql("countries", "country", "per_s1", _S1_MEASURES)]), _PER_S1))
+def _(p):
+    path = new_path(p.spark, "report")
+    sinks.write_json(AU.audit(p.rec, p.truth), path)
+    return RE.read_json(p.spark, path, "section string, name string, measure string, value double")
 
 
 # ---- normalization ---------------------------------------------------------------------
@@ -305,7 +352,10 @@ def _(p):
     return B.candidates(p.s, p.t, B.BlockerConfig(channels=(1, 3))).select("s1_id", "tid")
 
 
-@define("flt_country", sql(["exact", "rec"], "SELECT DISTINCT e.s1_id, e.tid FROM exact e JOIN rec a ON a.entity_id = e.s1_id JOIN rec b ON b.entity_id = e.tid WHERE a.country = b.country AND channel IN (1, 2, 3, 4, 7)"))
+_BY_COUNTRY = "by_c AS (SELECT * FROM (SELECT k.channel, k.key, r.country, k.entity_id AS tid, row_number() OVER (PARTITION BY channel, key, country ORDER BY k.entity_id) AS n FROM keys k JOIN rec r USING (entity_id) WHERE trim(key) <> '' AND entity_id NOT LIKE 'S1-%') WHERE n <= 500)"
+
+
+@define("flt_country", sql(["keys"], "SELECT DISTINCT k.entity_id AS s1_id, c.tid FROM keys k JOIN rec a USING (entity_id) JOIN by_c c ON c.channel = k.channel AND c.key = k.key AND c.country = a.country WHERE k.entity_id LIKE 'S1-%' AND k.channel IN (1, 2, 3, 4, 7)", _BY_COUNTRY))
 def _(p):
     return B.candidates(p.s, p.t, B.BlockerConfig(channels=(1, 2, 3, 4, 7), by_country=True)).select("s1_id", "tid")
 
@@ -409,6 +459,13 @@ def _(p):
     return B.exact_candidates(p.s, p.t, B.BlockerConfig(channels=(2,))).select("s1_id", "tid").distinct()
 
 
+@define("blk_iface", sql(["exact", "idx"], "SELECT (SELECT count(*) FROM (SELECT DISTINCT s1_id, tid FROM exact WHERE channel = 3)) AS pairs, CAST(count(*) AS BIGINT) AS unique_keys, CAST(sum(n) AS BIGINT) AS total_postings, CAST(max(n) AS BIGINT) AS max_size FROM (SELECT key, count(*) AS n FROM idx WHERE channel = 3 GROUP BY key)"))
+def _(p):
+    channel = B.BlockingChannel(3)
+    pairs = channel.generate(p.s, p.t).agg(F.count("*").alias("pairs"))
+    return pairs.join(F.broadcast(channel.stats(p.t).select("unique_keys", "total_postings", "max_size")))  # a row each
+
+
 @define("blk_posting", sql(["overlap"], "SELECT s1_id, tid, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, tid) AS n FROM ov) WHERE n <= 25", """ov AS (SELECT a.entity_id AS s1_id, b.entity_id AS tid, round(sum(idf), 9) AS score FROM post a JOIN idf USING (ng) JOIN post b USING (ng)
  WHERE df <= least(3000, greatest(20, CAST(floor((SELECT count(*) FROM t WHERE ch1 <> '') * 0.02) AS BIGINT))) AND a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%' GROUP BY a.entity_id, b.entity_id)"""))
 def _(p):

@@ -15,11 +15,14 @@ class InvalidTable(ValueError):
     """A file that does not have the form it must have."""
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str], limit: int | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, columns: list[str], limit: int | None = None, quoted_lines: bool = False) -> DataFrame:
     """A tab-separated file with exactly this header; missing fields are empty strings.
 
     Short rows are filled up, long rows and other headers are errors.  The header is
-    read alone; the rows are checked by the engine as they are scanned.
+    read alone; the rows are checked by the engine as they are scanned.  Large files are
+    split at line ends, so a field that begins with a quote must end with one on its
+    line; a file where one goes on is an error, unless ``quoted_lines`` says that fields
+    may hold line ends, at the price of one task a file.
     """
     first = spark.read.text(path).limit(1).collect()
     header = [x.strip() for x in first[0][0].split("\t")] if first else []
@@ -27,7 +30,16 @@ def read_table(spark: SparkSession, path: str, columns: list[str], limit: int |
         raise InvalidTable(f"{path}: separated by commas, not tabs")
     if header != columns:
         raise InvalidTable(f"{path}: header {header}, not {columns}")
-    rows = spark.read.csv(path, sep="\t", header=True, schema=", ".join(f"`{c}` string" for c in [*columns, "_corrupt"]), quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
+    schema = ", ".join(f"`{c}` string" for c in [*columns, "_corrupt"])
+    options = {"sep": "\t", "quote": '"', "escape": '"', "columnNameOfCorruptRecord": "_corrupt"}
+    if quoted_lines:
+        rows = spark.read.csv(path, header=True, schema=schema, multiLine=True, enforceSchema=True, **options)
+    else:
+        # A field that begins with a quote and has an odd number of them goes on on the next line.
+        goes_on = F.exists(F.split("value", "\t"), lambda x: x.startswith('"') & (F.pmod(F.regexp_count(x, F.lit('"')), F.lit(2)) == 1))
+        error = F.raise_error(F.concat(F.lit(f"{path}: a quote that is not closed on its line: "), F.col("value"))).cast("string")
+        lines = spark.read.text(path).filter((F.col("value") != "") & (F.col("value") != first[0][0]))
+        rows = lines.select(F.from_csv(F.when(F.coalesce(goes_on, F.lit(False)), error).otherwise(F.col("value")), F.lit(schema), options).alias("r")).select("r.*")
     long = F.size(F.split("_corrupt", "\t")) > len(columns)
     checked = rows.select(*[F.when(F.coalesce(long, F.lit(False)), F.raise_error(F.concat(F.lit(f"{path}: too many fields: "), F.col("_corrupt"))).cast("string")).otherwise(F.coalesce(c, F.lit(""))).alias(c) for c in columns])
     return checked.limit(limit) if limit is not None else checked
@@ -54,6 +66,11 @@ def first_fields(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim(F.split("value", "\t")[0]).alias("entity_id")).filter("entity_id not in ('', 'entity_id', 'source1_entity_id')").distinct()
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON object a line, such as cached records and scores; fields that are not there are null."""
+    return spark.read.schema(schema).json(path)
+
+
 def repeated(df: DataFrame, column: str) -> DataFrame:
     """(column, n) of values that are there more than once."""
     return df.groupBy(column).agg(F.count("*").alias("n")).filter("n > 1")

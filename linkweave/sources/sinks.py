@@ -13,9 +13,9 @@ def id_lists(s1: DataFrame, pairs: DataFrame, column: str, by: str = "rank") ->
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Tab-separated files with a header, in order of the first column; nothing is quoted."""
+    """Tab-separated files with a header, in order of the first column, quoted where ``read_table`` needs it."""
     ordered = df.orderBy(df.columns[0])
-    writer = ordered.write.option("sep", "\t").option("header", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("quote", "")
+    writer = ordered.write.option("sep", "\t").option("header", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("quote", '"').option("escape", '"')
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
@@ -29,3 +29,13 @@ def digest(df: DataFrame, columns: list[str]) -> DataFrame:
     row = F.sha2(F.concat_ws("\t", *columns), 256)
     top = F.conv(F.substring(row, 1, 12), 16, 10).cast("long")
     return df.select(top.alias("h")).agg(F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Comma-separated files with a header; quotes are doubled."""
+    df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A JSON object a line; nulls are written."""
+    df.write.option("ignoreNullFields", False).json(path)
