@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from linkweave.sources.paths import new_path, scratch, shared_folder, written
 
-__all__ = ["columns", "filesystem", "mapped", "new_path", "scratch", "shared_folder", "write_whole", "written"]
+__all__ = ["columns", "filesystem", "mapped", "new_path", "scratch", "shared_folder", "trim", "write_whole", "written"]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -35,6 +35,19 @@ def write_whole(uri: str, produce) -> int:
     return fs.get_file_info(path).size
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: worker processes live on, and others need it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def columns(df: DataFrame, names: list[str]) -> DataFrame:
     """The columns, whatever signs their names hold."""
     return df.select(*[df[f"`{n.replace('`', '``')}`"] for n in names])
@@ -51,5 +64,11 @@ def mapped(df: DataFrame, keep: list[str], run, more: str) -> DataFrame:
     out = columns(df, sent).toDF(*plain)
     kinds = [k for _, k in out.dtypes]
     names = plain[: len(keep)]
-    made = out.mapInArrow(run(sent.index("text"), names), ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds, strict=False)), more]))
+    each = run(sent.index("text"), names)
+
+    def trimmed(batches):
+        yield from each(batches)
+        trim()
+
+    made = out.mapInArrow(trimmed, ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds, strict=False)), more]))
     return made.toDF(*keep, *made.columns[len(keep) :])
