@@ -43,6 +43,8 @@ ROUNDS, NESTED_ROUNDS = 6, 4
 SET = 4
 #: Code points handled at once, and words fitted at once.
 SLICE, WORDS = 1_000_000, 300_000
+#: Languages at most: their table (BUCKETS numbers each) is held by the driver and by every worker.
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -85,7 +87,9 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the log-likelihood of each bucket (BUCKETS x languages)."""
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
     if not counts:
         return [], np.zeros((BUCKETS, 0), np.float32)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, FIT_ROWS / n))])
