@@ -13,6 +13,7 @@ from .words import LEGAL_SUFFIXES, STOPWORDS
 
 #: Scripts of India, whose combining signs are vowels and stay.
 INDIC = ("ऀ", "ൿ")
+# Fixed value: the ASCII punctuation that counts as a blank.
 PUNCTUATION = r"""[.,;:!?"'/\\()\[\]{}<>~`@#$%^*_+=|-]"""
 
 
@@ -22,12 +23,40 @@ def _plain(text: str | None) -> str | None:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) or INDIC[0] <= c <= INDIC[1])
 
 
+def _tables() -> tuple[str, str, str]:
+    """Letters that decompose to one letter and signs, that letter for each, and a class of what may need more than that."""
+    letters = [chr(i) for a, b in ((0xC0, 0x250), (0x1E00, 0x1F00)) for i in range(a, b)]
+    simple = {c: p for c in letters if (p := _plain(c)) != c and len(p) == 1}
+    # What stands for itself, whatever stands beside it: no combining sign, and no decomposition.
+    stable = [i for a, b in ((0, 0x250), (0x370, 0x590), (0x900, 0xD80), (0x4E00, 0xA000)) for i in range(a, b) if unicodedata.normalize("NFKD", chr(i)) == chr(i) and not unicodedata.combining(chr(i))]
+    runs = []
+    for i in stable:
+        if runs and runs[-1][1] == i - 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return "".join(simple), "".join(simple.values()), "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+_ACCENTED, _BARE, _MORE = _tables()
+
+
 @F.pandas_udf(StringType())
-def without_accents(texts: pd.Series) -> pd.Series:
-    """NFKD without combining signs, those of Indic scripts excepted."""
+def _decomposed(texts: pd.Series) -> pd.Series:
     return texts.map(_plain, na_action="ignore")
 
 
+def without_accents(text: Column) -> Column:
+    """NFKD without combining signs, those of Indic scripts excepted.
+
+    Letters of the Latin scripts are replaced in place; only texts with something else
+    that may decompose are sent to Python, the others as nulls.
+    """
+    replaced = F.translate(text, _ACCENTED, _BARE)
+    more = replaced.rlike(_MORE)
+    return F.when(more, _decomposed(F.when(more, text))).otherwise(replaced)
+
+
 def words_in(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 

@@ -151,9 +151,9 @@ _EVIDENCE = """(SELECT *, sum(CASE WHEN firm THEN 0 ELSE 1 END) OVER (PARTITION
 _ranking("pol_evid", lambda p: R.by_evidence(p.scored, 5, 8), "firm OR n_firm + others <= 5 OR (rank = 1 AND n_firm >= 5)", _EVIDENCE)
 
 
-@define("smp_k1000", sql(["s"], "SELECT entity_id FROM s ORDER BY entity_id LIMIT 100"))
+@define("smp_k1000", sql(["s"], "SELECT entity_id FROM s ORDER BY entity_id LIMIT 1000"))
 def _(p):
-    return p.s.select("entity_id").orderBy("entity_id").limit(100)
+    return p.s.select("entity_id").orderBy("entity_id").limit(1000)
 
 
 # ---- decisions and conflicts ----------------------------------------------------------------

@@ -60,3 +60,19 @@ def test_top2_differs_from_ch2(spark):
 def test_nulls_are_empty(spark):
     df = spark.createDataFrame([(None, "x")], "business_name string, k string")
     assert with_normalized(df, "business_name", "n_", True).first().n_tokens == []
+
+
+def test_accents_go_in_place_as_by_decomposition(spark):
+    import random
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from linkweave.functions import text as T
+
+    r = random.Random(0)
+    chars = [chr(i) for i in [*range(0x20, 0x250), *range(0x300, 0x310), *range(0x370, 0x400), *range(0x900, 0x980), *range(0x1E00, 0x1E80), *range(0xFB00, 0xFB07), 0xBD, 0x212B, 0xAC00, 0x4E2D, 0x1F600]]
+    rows = ["".join(r.choice(chars) for _ in range(r.randrange(1, 9))) for _ in range(3000)] + [*chars, "", "plain", None, "é", "é", "Ünïcödé ß"]
+    got = {x.i: x.v for x in spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", T.without_accents(F.col("t")).alias("v")).collect()}
+    want = {i: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c) or "ऀ" <= c <= "ൿ") for i, t in enumerate(rows)}
+    assert got == want
