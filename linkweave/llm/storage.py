@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from linkweave.sources.paths import new_path, scratch, shared_folder, written
 
-__all__ = ["columns", "filesystem", "mapped", "new_path", "scratch", "shared_folder", "trim", "write_whole", "written"]
+__all__ = ["columns", "filesystem", "mapped", "new_path", "one_file", "scratch", "shared_folder", "trim", "write_whole", "written"]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -35,6 +35,17 @@ def write_whole(uri: str, produce) -> int:
     return fs.get_file_info(path).size
 
 
+def one_file(manifest: DataFrame, path: str) -> str:
+    """Write a table of names, a row a file, so that tasks can look it up by opening one file; returns ``path``.
+
+    What makes the rows runs in as many tasks as it has; only they come together.
+    """
+    made = f"{path}-parts"
+    manifest.write.parquet(made)
+    manifest.sparkSession.read.schema(manifest.schema).parquet(made).repartition(1).write.parquet(path)
+    return path
+
+
 def trim() -> None:
     """Give memory that is free back to the system: worker processes live on, and others need it."""
     import ctypes

@@ -186,9 +186,7 @@ def write_tiles(classes: DataFrame, folder: str, scale: int, depth: int) -> str:
             storage.write_whole(cells, lambda c: storage.write_whole(exact, lambda e: counts.append(write_blocks(blocks(), wide, scale, depth, c, e))))
             yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "wide": pa.array([wide]), "cells": [cells], "exact": [exact], "rows": pa.array(counts, pa.int64())})
 
-    path = f"{folder}/tiles"
-    dealt.sortWithinPartitions("dim", "wide").mapInArrow(write, TILES).write.parquet(path)
-    return path
+    return storage.one_file(dealt.sortWithinPartitions("dim", "wide").mapInArrow(write, TILES), f"{folder}/tiles")
 
 
 def tiles_of(manifest: str, dim: int) -> list[dict]:
