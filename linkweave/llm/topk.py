@@ -48,8 +48,8 @@ CELL_BITS = 5
 BLOCK, TILE, QUERY_TILE = 4096, 1 << 18, 4096
 #: Queries that are bounded at once, and that read exact vectors at once.
 AT_ONCE = 256
-#: Scan tasks that are aimed at where there are few tiles of queries.
-TASKS = 24
+#: Scan tasks that are aimed at, and queries that a task should have at least; with fewer, vector tiles are shared out.
+TASKS, LEAST_QUERIES = 24, 64
 #: Whole numbers of wide vectors are this large at least.
 LARGEST = 1 << 24
 #: Bounds are held with queries of about 2 ** LIFT and vectors divided by 2 ** SHRINK: nothing overflows, or is lost below.
@@ -269,29 +269,29 @@ class ExactFiles:
     def __init__(self, depth: int):
         self.depth, self.open = depth, {}
 
-    def records(self, uri: str, dim: int, wide: bool, rows: list[int]) -> dict[tuple[str, int], np.void]:
-        """Those of the ascending ``rows``; neighbours are read together."""
+    def records(self, uri: str, dim: int, wide: bool, rows: np.ndarray) -> np.ndarray:
+        """The records of the ascending ``rows``; neighbours are read together."""
         if uri not in self.open:
             fs, path = storage.filesystem(uri)
             self.open[uri] = fs.open_input_file(path)
-        kind, at, out = record_type(dim, wide, self.depth), np.array(rows, np.int64), {}
-        for run in np.split(at, np.flatnonzero(np.diff(at) * kind.itemsize > GAP) + 1):
+        kind, out = record_type(dim, wide, self.depth), []
+        for run in np.split(rows, np.flatnonzero(np.diff(rows) * kind.itemsize > GAP) + 1):
             self.open[uri].seek(int(run[0]) * kind.itemsize)
             held = np.frombuffer(self.open[uri].read(int(run[-1] - run[0] + 1) * kind.itemsize), kind)
-            for r in run.tolist():
-                out[uri, r] = held[r - int(run[0])].copy()  # not the bytes between
-        return out
+            out.append(held[run - run[0]])  # not what lies between
+        return np.concatenate(out)
 
     def close(self) -> None:
         for f in self.open.values():
             f.close()
 
 
-def exact_score(query: np.ndarray, vector: np.ndarray, wide: bool, scale: int) -> int:
-    """Inner product of whole numbers; ``query`` as given, ``vector`` as its file holds it."""
+def exact_scores(query: np.ndarray, vectors: np.ndarray, wide: bool, scale: int) -> list[int]:
+    """Inner products of whole numbers; ``query`` as given, ``vectors`` as their file holds them."""
     if not wide and np.abs(query).max() < LARGEST / scale:
-        return int(np.floor(query * scale).astype(np.int64) @ vector)
-    return sum(a * b for a, b in zip(whole_numbers(query, scale), whole_numbers(vector, scale) if wide else vector.tolist(), strict=True))
+        return (vectors @ np.floor(query * scale).astype(np.int64)).tolist()
+    own = whole_numbers(query, scale)
+    return [sum(a * b for a, b in zip(own, whole_numbers(v, scale) if wide else v.tolist(), strict=True)) for v in vectors]
 
 
 def is_above(score: int, bound: float, power: int) -> bool:
@@ -300,39 +300,47 @@ def is_above(score: int, bound: float, power: int) -> bool:
     return score * bottom > top << power if power >= 0 else (score * bottom) << -power > top
 
 
-def refined(queries: np.ndarray, own: list[int | None], candidates: list[list[tuple[float, str, bool, int]]], files: ExactFiles, scale: int, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(vectors read, (id, score) of the k best and ties) of each query, best first.
+def refined(queries: np.ndarray, own: list[int | None], candidates: list[tuple[np.ndarray, np.ndarray, np.ndarray]], tiles: list[tuple[str, bool]], files: ExactFiles, scale: int, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(vectors read, (id, score) of the k best, best first) of each query.
 
-    ``candidates``: (upper bound, file, wide, row) in descending order of bounds.  All
-    queries read their next k at once, so that a file is read in its order.
+    ``candidates``: (upper bounds in descending order, places in ``tiles(file, wide)``,
+    rows).  All queries read their next k at once, so that a file is read in its order.
     """
     _, powers = lifted(queries)
     shift = [SHRINK + scale.bit_length() - 1 - int(p) for p in powers]
     at, found, left = [0] * len(queries), [[] for _ in queries], list(range(len(queries)))
     while left:
-        wanted: dict[tuple[str, bool], set[int]] = {}
-        for q in left:
-            for _, uri, wide, row in candidates[q][at[q] : at[q] + k]:
-                wanted.setdefault((uri, wide), set()).add(row)
-        held = {}
-        for (uri, wide), rows in sorted(wanted.items()):
-            held |= files.records(uri, queries.shape[1], wide, sorted(rows))
+        step = {q: (candidates[q][1][at[q] : at[q] + k], candidates[q][2][at[q] : at[q] + k]) for q in left}
+        tile_of, row_of = (np.concatenate([x[i] for x in step.values()]) for i in (0, 1))
+        rows = {t: np.unique(row_of[tile_of == t]) for t in np.unique(tile_of).tolist()}
+        held = {t: files.records(tiles[t][0], queries.shape[1], tiles[t][1], r) for t, r in rows.items()}
         going = []
         for q in left:
-            for _, uri, wide, row in candidates[q][at[q] : at[q] + k]:
-                r = held[uri, row]
-                score = exact_score(queries[q], r["v"], wide, scale)
-                found[q] += [(-score, i) for i in r["ids"][: r["n"]].tolist() if i != own[q]]
+            for t in np.unique(step[q][0]).tolist():
+                got = held[t][np.searchsorted(rows[t], step[q][1][step[q][0] == t])]
+                for score, n, ids in zip(exact_scores(queries[q], got["v"], tiles[t][1], scale), got["n"].tolist(), got["ids"].tolist(), strict=True):
+                    found[q] += [(-score, i) for i in ids[:n] if i != own[q]]
             found[q] = sorted(found[q])[:k]
-            at[q] = min(at[q] + k, len(candidates[q]))
+            upper = candidates[q][0]
+            at[q] = min(at[q] + k, len(upper))
             # The next may still reach the k-th, were it as a tie.
-            if at[q] < len(candidates[q]) and not (len(found[q]) == k and is_above(-found[q][-1][0], candidates[q][at[q]][0], shift[q])):
+            if at[q] < len(upper) and not (len(found[q]) == k and is_above(-found[q][-1][0], float(upper[at[q]]), shift[q])):
                 going.append(q)
         left = going
     for q, best in enumerate(found):
         yield at[q], [(i, -s) for s, i in best]
 
 
+def in_order(held: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(upper bounds in descending order, tiles, rows) of (tile, rows, upper bounds)."""
+    if not held:
+        return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    upper, rows = np.concatenate([x[2] for x in held]), np.concatenate([x[1] for x in held])
+    tiles = np.repeat([x[0] for x in held], [len(x[1]) for x in held])
+    order = np.lexsort((rows, tiles, -upper))
+    return upper[order], tiles[order], rows[order]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score, reads) from ``vectors(id, v)`` and ``queries(id, v)`` of ``integer_vectors``.
 
@@ -354,50 +362,62 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     members = storage.written(asked.select("id", "h1", "h2").distinct().join(several, "id", "left"), "members")
     units = storage.written(asked.join(several, "id", "left").groupBy("h1", "h2", "own").agg(F.first("v").alias("v")), "units")
     n = units.count()
-    query_tiles = max(1, -(-n // QUERY_TILE))
-    shares = max(1, -(-TASKS // query_tiles))
+    # Few queries: the vector tiles are shared out, and what each share may give is brought together.
+    query_tiles = max(1, -(-n // QUERY_TILE), min(TASKS, n // LEAST_QUERIES))
+    shares = max(1, TASKS // query_tiles) if n < TASKS * LEAST_QUERIES else 1
     key = F.pmod(F.xxhash64("h1", "h2", "own"), F.lit(query_tiles)).cast("int") * shares + F.col("share")
     spread = units.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("key", key).withColumn("dim", F.size("v"))
     dealt = spread.select("key", "dim", "share", "h1", "h2", "own", "v").repartition(query_tiles * shares, "key").sortWithinPartitions("key", "dim")
-    candidate = "array<struct<upper:double,exact:string,wide:boolean,row:long>>"
-    near_type = pa.list_(pa.struct([("upper", pa.float64()), ("exact", pa.string()), ("wide", pa.bool_()), ("row", pa.int64())]))
+    found = "h1 long, h2 long, own long, reads long, best array<struct<vec_id:long,score:long>>"
     best_type = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.int64())]))
 
-    def run_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settled(units: list[tuple], candidates: list[tuple], tiles: list[tuple[str, bool]], files: ExactFiles) -> Iterator[pa.RecordBatch]:
+        """Results of units (h1, h2, own, v) of equal length."""
+        for at in range(0, len(units), AT_ONCE):
+            part = units[at : at + AT_ONCE]
+            reads, best = zip(*refined(np.stack([u[3] for u in part]), [u[2] for u in part], candidates[at : at + AT_ONCE], tiles, files, scale, depth), strict=True)
+            fit = [[{"vec_id": i, "score": s if -(1 << 63) <= s < 1 << 63 else None} for i, s in b] for b in best]
+            yield pa.RecordBatch.from_arrays([*(pa.array([u[i] for u in part], pa.int64()) for i in range(3)), pa.array(reads, pa.int64()), pa.array(fit, best_type)], names=["h1", "h2", "own", "reads", "best"])
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[tuple], list[dict]]]:
+        """(units, what may be among their best, tiles) of each tile of queries."""
         records = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(6)), (x.values.to_numpy() for x in b.column(6)), strict=True))
         for (_, dim, share), group in groupby(records, lambda r: r[:3]):
-            group = list(group)
+            units = [r[3:] for r in group]
             tiles = tiles_of(manifest, dim)[share::shares]
-            near = [[{"upper": u, "exact": tiles[t]["exact"], "wide": tiles[t]["wide"], "row": at} for t, rows, upper in held for at, u in zip(rows.tolist(), upper.tolist(), strict=True)] for held in scan(tiles, np.stack([r[6] for r in group]), [r[5] for r in group], depth)]
-            for at in range(0, len(group), AT_ONCE):
-                part = group[at : at + AT_ONCE]
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in part], pa.int64()) for i in (3, 4, 5)), pa.array([r[6] for r in part], pa.list_(pa.float64())), pa.array(near[at : at + AT_ONCE], near_type)], names=["h1", "h2", "own", "v", "near"])
+            near = scan(tiles, np.stack([u[3] for u in units]), [u[2] for u in units], depth)
+            yield units, [in_order(x) for x in near], tiles
 
-    def run_refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = ExactFiles(depth)
+        for units, candidates, tiles in scanned(batches):
+            yield from settled(units, candidates, [(t["exact"], t["wide"]) for t in tiles], files)
+        files.close()
+
+    near_type = pa.list_(pa.struct([("upper", pa.float64()), ("exact", pa.string()), ("wide", pa.bool_()), ("row", pa.int64())]))
 
-        def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for _, group in groupby(sorted(held, key=lambda x: len(x[3])), lambda x: len(x[3])):
-                group = list(group)
-                reads, best = zip(*refined(np.stack([x[3] for x in group]), [x[2] for x in group], [x[4] for x in group], files, scale, depth), strict=True)
-                fit = [[{"vec_id": i, "score": s if -(1 << 63) <= s < 1 << 63 else None} for i, s in b] for b in best]
-                yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in group], pa.int64()) for i in range(3)), pa.array(reads, pa.int64()), pa.array(fit, best_type)], names=["h1", "h2", "own", "reads", "best"])
+    def run_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for units, candidates, tiles in scanned(batches):
+            near = [[{"upper": u, "exact": tiles[t]["exact"], "wide": tiles[t]["wide"], "row": r} for u, t, r in zip(*(x.tolist() for x in c), strict=True)] for c in candidates]
+            yield pa.RecordBatch.from_arrays([*(pa.array([u[i] for u in units], pa.int64()) for i in range(3)), pa.array([u[3] for u in units], pa.list_(pa.float64())), pa.array(near, near_type)], names=["h1", "h2", "own", "v", "near"])
 
+    def run_refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = ExactFiles(depth)
         records = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), (x.values.to_numpy() for x in b.column(3)), b.column(4).to_pylist(), strict=True))
-        held = []
         for unit, group in groupby(records, lambda r: r[:3]):
             group = list(group)
-            near = sorted(((c["upper"], c["exact"], c["wide"], c["row"]) for g in group for c in g[4]), key=lambda c: (-c[0], c[1], c[3]))
-            held.append((*unit, group[0][3], near))
-            if len(held) == AT_ONCE:
-                yield from out(held)
-                held = []
-        yield from out(held)
+            near = [c for g in group for c in g[4]]
+            tiles = sorted({(c["exact"], c["wide"]) for c in near})
+            place = {x: i for i, x in enumerate(tiles)}
+            arrays = in_order([(place[c["exact"], c["wide"]], np.array([c["row"]]), np.array([c["upper"]])) for c in near])
+            yield from settled([(*unit, group[0][3])], [arrays], tiles, files)
         files.close()
 
-    scanned = dealt.mapInArrow(run_scan, f"h1 long, h2 long, own long, v array<double>, near {candidate}")
-    refine = scanned.repartition(query_tiles * shares, "h1", "h2", "own").sortWithinPartitions("h1", "h2", "own")
-    best = refine.mapInArrow(run_refine, "h1 long, h2 long, own long, reads long, best array<struct<vec_id:long,score:long>>")
+    if shares == 1:
+        best = dealt.mapInArrow(run_whole, found)
+    else:
+        near = dealt.mapInArrow(run_share, "h1 long, h2 long, own long, v array<double>, near array<struct<upper:double,exact:string,wide:boolean,row:long>>")
+        best = near.repartition(query_tiles * shares, "h1", "h2", "own").sortWithinPartitions("h1", "h2", "own").mapInArrow(run_refine, found)
     # A unit's row is sent SALT times, so that the queries of one vector meet it in as many tasks.
     salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     met = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).alias("m").join(salted.alias("b"), (F.col("m.h1") == F.col("b.h1")) & (F.col("m.h2") == F.col("b.h2")) & F.col("m.own").eqNullSafe(F.col("b.own")) & (F.col("m.salt") == F.col("b.salt")))

@@ -36,12 +36,13 @@ def test_all_cases(spark):
         topk.integer_vectors(df, "vec_id", "embedding", 60)
 
 
-def test_a_vector_that_a_third_has(spark, monkeypatch):
-    """Copies are one class; small blocks and tiles of queries, many shares."""
+@pytest.mark.parametrize("least", [1, 1000])
+def test_a_vector_that_a_third_has(spark, least, monkeypatch):
+    """Copies are one class; small blocks and tiles of queries, whole scans and many shares."""
     rng = np.random.default_rng(1)
     hot = [float(x) for x in rng.normal(size=8)]
     rows = [(i, hot if i % 3 == 0 else [float(x) for x in rng.normal(size=8)]) for i in range(900)]
-    for name, value in (("BLOCK", 64), ("TILE", 200), ("QUERY_TILE", 8), ("TASKS", 5), ("AT_ONCE", 3)):
+    for name, value in (("BLOCK", 64), ("TILE", 200), ("QUERY_TILE", 8), ("TASKS", 5), ("AT_ONCE", 3), ("LEAST_QUERIES", least)):
         monkeypatch.setattr(topk, name, value)
     v = topk.integer_vectors(spark.createDataFrame(rows, "id long, e array<double>"), "id", "e")
     got = topk.top_k(v, v.filter("id % 20 = 0"), 5).collect()
@@ -76,9 +77,9 @@ def test_scan_keeps_the_best(tmp_path_factory, n, dim, k, seed, size):
         topk.write_blocks(((ids[a : a + 50], data[a : a + 50]) for a in range(0, n, 50)), wide, 64, 3, c, e)
     tile = {"dim": dim, "wide": wide, "cells": (folder / "c").as_uri(), "exact": (folder / "e").as_uri()}
     queries, own = np.concatenate([data[:3], np.zeros((1, dim))]), [None, *[0] * (len(data[:3]) - 1), None]
-    near = [sorted(((u, tile["exact"], wide, r) for _, rows, upper in held for r, u in zip(rows.tolist(), upper.tolist(), strict=True)), key=lambda c: (-c[0], c[3])) for held in topk.scan([tile], queries, own, k)]
+    near = [topk.in_order(held) for held in topk.scan([tile], queries, own, k)]
     files = topk.ExactFiles(3)
-    for q, o, (_, best) in zip(queries, own, topk.refined(queries, own, near, files, 64, k), strict=True):
+    for q, o, (_, best) in zip(queries, own, topk.refined(queries, own, near, [(tile["exact"], wide)], files, 64, k), strict=True):
         whole = [topk.whole_numbers(x, 64) for x in data]
         want = sorted((-sum(a * b for a, b in zip(topk.whole_numbers(q, 64), w, strict=True)), i) for w, x in zip(whole, ids, strict=True) for i in x if i != o)[:k]
         assert [(-s, i) for i, s in best] == want
