@@ -21,7 +21,7 @@ switches between.
 
 Defined results: a null or empty text has zero counts and fails the base rules; null
 languages and sources are groups of their own; a ratio's whole is never zero, as
-a little is added to it; every row gives one row, repeated ones too; an empty table
+a little is added to it (to words, eight of five letters); every row gives one row, repeated ones too; an empty table
 gives no rows; columns of any name are passed on as they are.
 """
 
@@ -38,12 +38,12 @@ _BLANK = r"[\x20\x09-\x0D]"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Base rules: words that a text must have, and words in repeated windows, in hundredths of all, that it may have.
 LEAST_WORDS, MOST_REPEATS = 50, 50
-#: Ratios: part, whole, times, and what is added to the whole so that one event in a short text is no extreme.
+#: Ratios: part, whole, times, and what is added to part and whole so that one event, or one word, in a short text is no extreme.
 RATIOS = {
-    "mean_length": ("word_chars", "n_words", 100, 1),
-    "symbols": ("n_symbols", "word_chars", 1000, 200),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 2),
-    "repeats": ("n_repeat_words", "n_words", 1000, 20),
+    "mean_length": ("word_chars", "n_words", 100, 40, 8),
+    "symbols": ("n_symbols", "word_chars", 1000, 0, 200),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 0, 2),
+    "repeats": ("n_repeat_words", "n_words", 1000, 0, 20),
 }
 #: Documents in a thousand that the body of a ratio leaves at its upper end; mean_length has a lower end, too.
 BEYOND = {"mean_length": 100, "symbols": 200, "dup_lines": 10, "repeats": 10}
@@ -93,7 +93,7 @@ def bucket(value: Column) -> Column:
 
 def ratios() -> dict[str, Column]:
     """The bucket of each ratio."""
-    return {k: bucket(F.expr(f"({times} * counts.{part}) div (counts.{whole} + {more})")) for k, (part, whole, times, more) in RATIOS.items()}
+    return {k: bucket(F.expr(f"({times} * (counts.{part} + {some})) div (counts.{whole} + {more})")) for k, (part, whole, times, some, more) in RATIOS.items()}
 
 
 def sketch(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -172,7 +172,7 @@ def _sql_bucket(value: str) -> str:
     return f"(({value} >> {spare}) << {spare})"
 
 
-_SQL_RATIOS = {k: _sql_bucket(f"({times} * {part} // ({whole} + {more}))") for k, (part, whole, times, more) in RATIOS.items()}
+_SQL_RATIOS = {k: _sql_bucket(f"({times} * ({part} + {some}) // ({whole} + {more}))") for k, (part, whole, times, some, more) in RATIOS.items()}
 _SQL_BEYOND = "CASE ratio " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in BEYOND.items()) + " END"
 _SQL_QUANTILES = "max(docs) AS docs, " + ", ".join(f"min(CASE WHEN upto * 1000 >= docs * ({at}) THEN v END) AS {name}" for name, at in (("low", _SQL_BEYOND), ("mid", "500"), ("high", f"1000 - {_SQL_BEYOND}")))
 

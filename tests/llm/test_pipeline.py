@@ -23,7 +23,7 @@ def fit_by_rules(rows):
         n, chars, symbols, dup, rep = brute_counts(r.text)
         lines = len([x for x in (r.text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")])
         if n >= 1 and 100 * rep <= 50 * n:
-            ok[r.doc_id] = {"mean_length": brute_bucket(100 * chars // (n + 1)), "symbols": brute_bucket(1000 * symbols // (chars + 200)), "dup_lines": brute_bucket(1000 * dup // (lines + 2)), "repeats": brute_bucket(1000 * rep // (n + 20))}
+            ok[r.doc_id] = {"mean_length": brute_bucket(100 * (chars + 40) // (n + 8)), "symbols": brute_bucket(1000 * symbols // (chars + 200)), "dup_lines": brute_bucket(1000 * dup // (lines + 2)), "repeats": brute_bucket(1000 * rep // (n + 20))}
             for k, v in ok[r.doc_id].items():
                 values.setdefault(((r.lang, r.source), k), []).append(v)
     limits = brute_limits(values)

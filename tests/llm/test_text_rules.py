@@ -92,7 +92,7 @@ def test_limits_equal_brute_force_and_follow_their_group(spark):
         n, chars, symbols, dup, rep = brute_counts(r.text)
         lines = len([x for x in r.text.split("\n") if x.strip(" \t\n\x0b\x0c\r")])
         if n >= 50 and 100 * rep <= 50 * n:
-            for name, v in (("mean_length", 100 * chars // (n + 1)), ("symbols", 1000 * symbols // (chars + 200)), ("dup_lines", 1000 * dup // (lines + 2)), ("repeats", 1000 * rep // (n + 20))):
+            for name, v in (("mean_length", 100 * (chars + 40) // (n + 8)), ("symbols", 1000 * symbols // (chars + 200)), ("dup_lines", 1000 * dup // (lines + 2)), ("repeats", 1000 * rep // (n + 20))):
                 seen.setdefault(((r.lang, r.source), name), []).append((r.doc_id, brute_bucket(v)))
     limits = brute_limits({k: [b for _, b in v] for k, v in seen.items()})
     got = {((r.lang, r.source), r.ratio): (r.least, r.most) for r in quality.limits(quality.sketch(quality.counted(docs))).collect()}
