@@ -7,19 +7,13 @@ from __future__ import annotations
 
 import uuid
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
-from linkweave.sources.paths import new_path, scratch, shared_folder, written
+from linkweave.sources.paths import filesystem, new_path, scratch, shared_folder, written
 
 __all__ = ["columns", "filesystem", "mapped", "new_path", "one_file", "scratch", "shared_folder", "trim", "write_whole", "written"]
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path within it; for executors, which have no JVM gateway."""
-    return pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-
-
 def write_whole(uri: str, produce) -> int:
     """Write a file so that it is there whole or not at all; return its size.
 
