@@ -1,10 +1,11 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles.
 
-MinHash bands only propose; what is proposed is decided on the two texts' whole sets of
+SimHash fingerprints propose, by the balls of ``simhash``: all that are tied within 4 bits.
+As similar texts may differ in more bits, MinHash bands propose too; what is proposed is decided on the two texts' whole sets of
 shingle hashes.  A pair at the least similarity of 4/5 meets in none of the 36 bands of 5
 with a chance of ``(1 - 0.8 ** 5) ** 36``, that is 6 in 10 million.
 
-Equal sets are one from the start.  Sets that bands hold together are a family.  A small
+Equal sets are one from the start.  Sets that balls and bands hold together are a family.  A small
 family is one task's work, where all are compared.  In a large one a set of which too few
 shingles are in any other set cannot be similar to any, by its size alone, and is done;
 families are then formed anew of those that are left.  In those that are still large
@@ -39,6 +40,8 @@ from .places import Placed, look_up, write_beside
 #: Least similarity of linked texts, as a fraction.
 SIMILAR = (4, 5)
 BANDS, ROWS = 36, 5
+#: Bits within which fingerprints propose a pair.
+RADIUS = 4
 #: Shingles hashed at once.
 HELD = 2048
 #: Members and shingles of a family that one task compares as a whole.
@@ -78,20 +81,22 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
 
 
 def with_bands(docs: Placed, words: int) -> DataFrame:
-    """(file, row, doc_id, fp, n, bands): of each text a hash of its set, the set's size and its bands."""
+    """(file, row, doc_id, fp, n, simhash, bands): of each text a hash of its set, the set's size, the SimHash fingerprint of its shingles and the set's bands."""
     import xxhash
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        whole, sizes, bands = [], [], []
+        whole, sizes, prints, bands = [], [], [], []
         for x in batch.column(3):
-            found = shingle_set(x.as_py(), words)
+            hashes = simhash.shingle_hashes(x.as_py(), words)
+            prints.append(simhash.of_hashes(hashes))
+            found = np.unique(hashes)
             whole.append(xxhash.xxh64_intdigest(found.tobytes(), simhash.SEED))
             sizes.append(len(found))
             bands.append(band_keys(found))
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(bands)], names=["file", "row", "doc_id", "fp", "n", "bands"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), _lists(bands)], names=["file", "row", "doc_id", "fp", "n", "simhash", "bands"])
 
     doc_id, text = docs.column("doc_id"), docs.column("text")
-    return docs.mapped(["file", "row", doc_id, text], run, f"file long, row long, doc_id {docs.types[doc_id]}, fp long, n long, bands array<long>")
+    return docs.mapped(["file", "row", doc_id, text], run, f"file long, row long, doc_id {docs.types[doc_id]}, fp long, n long, simhash long, bands array<long>")
 
 
 def with_sets(docs: Placed, words: int, asked: DataFrame) -> DataFrame:
@@ -243,15 +248,24 @@ def _sized(named: DataFrame) -> DataFrame:
     return named.join(weights.select("family", small.alias("small")), "family").select("fp", "family", "n", "small")
 
 
+def in_balls(by_set: DataFrame) -> DataFrame:
+    """(key, fp) of ``by_set(fp, n, simhash)``: sets whose fingerprints the balls of ``simhash`` tie together, where those are several."""
+    some = by_set.filter(F.col("n") >= SIMILAR[0]).select("fp", "simhash")
+    tied = simhash.classes(some.select(F.col("simhash").alias("fp")), RADIUS).withColumnRenamed("fp", "simhash")
+    named = some.join(tied, "simhash", "left").select(F.xxhash64(F.lit("simhash"), F.coalesce("class", "simhash")).alias("key"), "fp")
+    at = Window.partitionBy("key")
+    return named.withColumn("several", F.min("fp").over(at) != F.max("fp").over(at)).filter("several").select("key", "fp")
+
+
 def classes(by_set: DataFrame, sets_of) -> DataFrame:
-    """(fp, class) of the rows of ``by_set(fp, n, bands)`` that are similar to another one.
+    """(fp, class) of the rows of ``by_set(fp, n, simhash, bands)`` that are similar to another one.
 
     ``sets_of(fps)`` gives ``(fp, family, small, n, shingles)`` of the rows of ``fps(fp, family, small)``.
     """
     at = Window.partitionBy("key")
     keyed = by_set.select("fp", F.explode("bands").alias("key"))
     company = F.min("fp").over(at) != F.max("fp").over(at)
-    met = storage.written(keyed.withColumn("met", company).filter("met").select("key", "fp"), "met")
+    met = storage.written(keyed.withColumn("met", company).filter("met").select("key", "fp").unionByName(in_balls(by_set)), "met")
     named = storage.written(_sized(families(met).join(by_set.select("fp", "n"), "fp")), "families")
     sets = storage.written(sets_of(named), "sets")
     links = storage.written(links_of_small(sets.filter("small")), "links")
@@ -277,10 +291,10 @@ def without_near_duplicates(docs: DataFrame, words: int) -> DataFrame:
     placed = Placed(docs)
     with storage.scratch(docs.sparkSession):
         marked = storage.written(with_bands(placed, words), "marked")
-        by_set = storage.written(marked.groupBy("fp").agg(F.min(simhash.first_row()).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "by_set")
+        by_set = storage.written(marked.groupBy("fp").agg(F.min(simhash.first_row()).alias("first"), F.first("n").alias("n"), F.min("simhash").alias("simhash"), F.first("bands").alias("bands")), "by_set")
 
         def sets_of(fps: DataFrame) -> DataFrame:
             return with_sets(placed, words, by_set.select("fp", "first.file", "first.row").join(fps.select("fp", "family", "small"), "fp"))
 
-        gone = simhash.others(marked, by_set, classes(by_set.select("fp", "n", "bands"), sets_of))
+        gone = simhash.others(marked, by_set, classes(by_set.select("fp", "n", "simhash", "bands"), sets_of))
     return placed.without(gone)

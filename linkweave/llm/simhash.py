@@ -66,7 +66,11 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int) -> int:
     """Unsigned 64-bit fingerprint of a text."""
-    hashes = shingle_hashes(text, words)
+    return of_hashes(shingle_hashes(text, words))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint of shingle hashes, repeats included."""
     n = len(hashes)
     return int((np.uint64(1) << np.flatnonzero(2 * bit_counts(hashes) > n).astype(np.uint64)).sum()) if n else 0
 

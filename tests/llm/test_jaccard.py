@@ -80,3 +80,12 @@ def test_repeated_and_null_ids(spark, documents, nothing):
     rows = list(enumerate(texts))
     assert kept.count() == len(brute_kept(rows, 5))
     assert jaccard.without_near_duplicates(nothing, 5).count() == 0
+
+
+def test_balls_of_fingerprints_propose(spark, monkeypatch):
+    """Without any MinHash band the texts that the balls tie are still compared, on their whole sets."""
+    monkeypatch.setattr(jaccard, "band_keys", lambda found: jaccard.np.zeros(0, jaccard.np.uint64))
+    base = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"])), (3, " ".join(f"v{i}" for i in range(3000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id for x in corpus_pipeline.dedup_stage(spark, docs, "").collect()} == {1, 3}
